@@ -29,7 +29,7 @@ select p_partkey as sup_id,
        p_type as sup_cat_id, p_brand as sup_brand, p_size as sup_class
 from part"""
 
-BLOCK_KEYS = [("sup_cat_id", "mas_cat_id"), ("sup_brand", "mas_brand"), ("sup_class", "mas_class")]
+BLOCK_KEYS = [("sup_cat_id", "mas_cat_id"), ("sup_brand", "mas_brand")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +46,34 @@ def master_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_part(spark, sf_dir, SUPPLIER_ITEMS)
+
+# titles in many spellings of pack, size and unit, for the mining queries
+MINING_TITLES = """
+select p_partkey as item_id,
+       case p_partkey % 20 when 0 then concat(p_name, ' Dose 24x0,33 l')
+                           when 1 then concat(p_name, ' 4*6*0.5L DPG')
+                           when 2 then concat(p_name, ' 6 x 4 x 1,5 Liter  Kiste')
+                           when 3 then concat(p_name, ' rot 10x', cast(p_size as string))
+                           when 4 then concat(p_name, ' 20 Beutel 1,75 g')
+                           when 5 then concat(p_name, ' 24 Stk ', cast(p_size as string), ' g')
+                           when 6 then concat(upper(p_name), ' 0,75 Liter 6er KARTON')
+                           when 7 then concat(p_name, ' ', cast(p_size as string), 'g x 12')
+                           when 8 then concat(p_name, ' 500 Blatt ', p_brand)
+                           when 9 then concat(p_name, ' 100 St')
+                           when 10 then concat(p_name, ' ', cast(p_size as string), 'er')
+                           when 11 then concat(p_name, ' 3/', cast(p_size as string))
+                           when 12 then concat(p_name, ' o''neill''s 12 x')
+                           when 13 then concat(p_name, ' 0,75 6,50')
+                           when 14 then concat(p_name, ' 12x10,5 4,9 % MW')
+                           when 15 then concat(p_name, ' 4x6/0,33 l Glas ', p_brand)
+                           when 16 then concat(p_name, ' 6x0,5')
+                           when 17 then concat(p_name, ' 2,5 kg Pet ', cast(p_size as string), ' Rollen')
+                           when 18 then concat(p_brand, ' ', cast(p_size as string), 'x70cl 40 % EW')
+                           else concat(p_name, ' 6er 4 x 0,33 I ', p_brand) end as title
+from part"""
+
+PAIR_KEYS = [("sup_brand", "mas_brand"), ("sup_class", "mas_class")]
+
+
+def mining_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_part(spark, sf_dir, MINING_TITLES)

@@ -47,12 +47,13 @@ def match(features: DataFrame, method: str = BOTH, rule_no: int = 3, model: Pipe
           refit: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
     """(predictions, best matches) per method over a feature table (PIPE1-3).
 
-    With ``both``, pass a written or otherwise cut table, since each method reads it.
+    The feature table is written first: every method, and every group value of a rule, reads it again.
     """
     method, results = chosen_method(method), {}
+    if method != RULE_BASED and model is None:
+        raise ValueError("ml_based matching needs a model")
+    features = materialize(features, "features")
     if method in (ML_BASED, BOTH):
-        if model is None:
-            raise ValueError("ml_based matching needs a model")
         predicted = predict(model, features, refit)
         results[ML_BASED] = predicted, automatch(predicted)
     if method in (RULE_BASED, BOTH):
@@ -67,8 +68,8 @@ def run(spark, supplier_path: str, master_path: str, result_folder: str, method:
     """The whole job from files to files (PIPE4)."""
     wanted = chosen_method(method)
     model = load_model(f"{model_folder}/{BOOSTED}") if wanted != RULE_BASED else None
-    features = materialize(feature_pairs(read_supplier(spark, supplier_path), read_master(spark, master_path),
-                                         tobacco=tobacco, compat=compat), "features")
+    features = feature_pairs(read_supplier(spark, supplier_path), read_master(spark, master_path),
+                             tobacco=tobacco, compat=compat)
     results = match(features, wanted, rule_no, model, refit)
     for name, (predictions, best) in results.items():
         write_results(predictions, best, result_folder, name, kind)
