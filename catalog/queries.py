@@ -20,6 +20,9 @@ from pairloom.sources import readers, writers
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
 DIGITS = 6
+# what rules, models and the best-match table read of a feature table
+MATCH_COLUMNS = ["sup_id", "m_id", "title", "mas_title", "p_id", "cp_id", "wg_sim_score", "price_diff",
+                 "ean_match_flag", "size_diff"]
 
 
 def query(function: Query) -> Query:
@@ -375,8 +378,9 @@ def csv_round_trip(spark, sf_dir):
 
 @query
 def match_rule(spark, sf_dir):
-    """The whole rule-based job with all scores: best three matches of every item."""
-    found = matching.feature_pairs(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir))
+    """The whole rule-based job with the scores its rule reads: best three matches of every item."""
+    found = matching.feature_pairs(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir),
+                                   names=["jwrink", "lev"]).select(*MATCH_COLUMNS)
     return matching.match(found, matching.RULE_BASED)[matching.RULE_BASED][1]
 
 
@@ -384,7 +388,7 @@ def match_rule(spark, sf_dir):
 def match_rule_jaro(spark, sf_dir):
     """The whole rule-based job with Jaro in the place of the token-set ratio, so that SQL can follow."""
     pairs = blocking.tfidf_blocking(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir))
-    found = jaro_features(spark, sf_dir, pairs.select("sup_id", "m_id"))
+    found = jaro_features(spark, sf_dir, pairs.select("sup_id", "m_id")).select(*MATCH_COLUMNS)
     return matching.match(found, matching.RULE_BASED)[matching.RULE_BASED][1]
 
 
@@ -394,7 +398,7 @@ def match_both(spark, sf_dir):
     rows = materialize(training_rows(spark, sf_dir), "training")
     fitted, _ = models.train_models(rows, training_plan.ROW_KEYS, names=[models.BOOSTED])
     found = matching.feature_pairs(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir),
-                                   names=["jwrink", "lev"])
+                                   names=["jwrink", "lev"]).select(*MATCH_COLUMNS)
     results = matching.match(found, matching.BOTH, model=fitted[models.BOOSTED])
     best = [best.withColumn("method", F.lit(name)) for name, (_, best) in results.items()]
     return best[0].unionByName(best[1])

@@ -19,6 +19,9 @@ in both suffixes, so their cosine is at most ``suf_s(g) * suf_m(g)`` (Cauchy-Sch
 
 Equal normalised titles have equal vectors, so 1-3 run on distinct titles. A group of copies counts
 with its size in the document frequencies and gives at most its ``k`` smallest ids to the result.
+
+Frequent grams and large groups of copies are cut into slices by their known size before they are
+joined (``operators.skew``), so no gram and no title is one task's work.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions import text as tx
+from pairloom.operators.skew import every_slice, own_slice
 from pairloom.session import materialize
 
 SCORE_DIGITS = 9
@@ -95,10 +99,10 @@ def _vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def _postings(vectors: DataFrame, title: str, entries: Column) -> DataFrame:
-    """One row per vector entry: gram, the title's name, and w and suf under the title's prefix."""
+    """One row per vector entry: gram, df, the title's name, and w and suf under the title's prefix."""
     return (vectors.select(F.col("rep").alias(title), F.explode(entries).alias("e"))
-            .select(title, F.col("e.gram").alias("gram"), F.col("e.w").alias(f"{title}_w"),
-                    F.col("e.suf").alias(f"{title}_suf")))
+            .select(title, F.col("e.gram").alias("gram"), F.col("e.df").alias("df"),
+                    F.col("e.w").alias(f"{title}_w"), F.col("e.suf").alias(f"{title}_suf")))
 
 
 def _cosines(pairs: DataFrame, s_vectors: DataFrame, m_vectors: DataFrame) -> DataFrame:
@@ -152,12 +156,15 @@ def _candidates(s_vectors: DataFrame, m_vectors: DataFrame, floors: DataFrame) -
         "floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
     needed = F.filter("vec", lambda e: e["suf"] >= F.col("floor"))
     left = (bounded.select(F.col("rep").alias("s"), "floor", F.explode(needed).alias("e"))
-            .select("s", F.col("e.gram").alias("gram"), (F.col("floor") / F.col("e.suf")).alias("need")))
-    # master entries below what every supplier title needs of the gram stay out of the shuffle
+            .select("s", F.col("e.gram").alias("gram"), F.col("e.df").alias("df"),
+                    (F.col("floor") / F.col("e.suf")).alias("need")))
+    # master entries below what every supplier title needs of the gram stay out of the second join
     weakest = left.groupBy("gram").agg(F.min("need").alias("weakest_need"))
     right = (_postings(m_vectors, "m", F.col("vec")).join(weakest, "gram")
-             .where(F.col("m_suf") >= F.col("weakest_need") - SLACK).select("gram", "m", "m_suf"))
-    return (left.join(right, "gram").where(F.col("m_suf") >= F.col("need") - SLACK)
+             .where(F.col("m_suf") >= F.col("weakest_need") - SLACK)
+             .select("gram", own_slice(F.col("m"), F.col("df")).alias("slice"), "m", "m_suf"))
+    left = left.select("s", "gram", "need", F.explode(every_slice(F.col("df"))).alias("slice"))
+    return (left.join(right, ["gram", "slice"]).where(F.col("m_suf") >= F.col("need") - SLACK)
             .select("s", "m").distinct())
 
 
@@ -172,7 +179,7 @@ def tfidf_blocking(supplier: DataFrame, master: DataFrame, title: str = "title",
     m_tf = term_frequencies(m_titles, n)
     idf = materialize(inverse_document_frequencies(m_tf, m_titles), "idf")
     m_vectors = materialize(_vectors(m_tf, idf), "master_vectors")
-    s_titles = _distinct_titles(supplier, "sup_id", title)
+    s_titles = materialize(_distinct_titles(supplier, "sup_id", title), "supplier_titles")
     s_vectors = materialize(_vectors(term_frequencies(s_titles, n), idf), "supplier_vectors")
 
     floors = materialize(_floors(s_vectors, m_vectors, k, seed_grams), "floors")
@@ -189,10 +196,13 @@ def tfidf_blocking(supplier: DataFrame, master: DataFrame, title: str = "title",
     ranked = (best.join(copies, "m").withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
               .select("s", "m_id", F.col("score").alias("cos_score"), "rank"))
     # and back from supplier titles to supplier rows
+    named = s_titles.select("norm", F.col("rep").alias("s"), "n_rows")
     rows = (drop_missing_titles(supplier, title)
-            .select("sup_id", tx.normalise_for_ngrams(F.col(title)).alias("norm"))
-            .join(s_titles.select("norm", F.col("rep").alias("s")), "norm").select("sup_id", "s"))
-    return rows.join(ranked, "s").select("sup_id", "m_id", "cos_score", "rank")
+            .select("sup_id", tx.normalise_for_ngrams(F.col(title)).alias("norm")).join(named, "norm")
+            .select("sup_id", "s", own_slice(F.col("sup_id"), F.col("n_rows")).alias("slice")))
+    ranked = (ranked.join(s_titles.select(F.col("rep").alias("s"), "n_rows"), "s")
+              .withColumn("slice", F.explode(every_slice(F.col("n_rows")))).drop("n_rows"))
+    return rows.join(ranked, ["s", "slice"]).select("sup_id", "m_id", "cos_score", "rank")
 
 
 def hybrid_blocking(supplier: DataFrame, master: DataFrame, keys: list[tuple[str, str]],

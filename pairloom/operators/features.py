@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
@@ -10,12 +10,13 @@ from pairloom.functions import ean, numeric
 from pairloom.functions.text import blank_to_null
 from pairloom.operators.titles import add_title_features
 
+TITLES = ("title", "mas_title")
 MASTER_NUMBERS = ["mas_dpc", "mas_pieces", "mas_p_c", "mas_size"]
 
 
-def blanks_to_null(df: DataFrame) -> DataFrame:
-    """Blank text to null in every string column (FLT3)."""
-    text = [c for c, kind in df.dtypes if kind == "string"]
+def blanks_to_null(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Blank text to null in every string column (FLT3) but those to ``keep``."""
+    text = [c for c, kind in df.dtypes if kind == "string" and c not in keep]
     return df.withColumns({c: blank_to_null(F.col(c)) for c in text})
 
 
@@ -23,33 +24,44 @@ def repair_types(df: DataFrame, decimal_comma: bool = False) -> DataFrame:
     """The numeric columns that are present, as doubles (CAST1).
 
     A missing supplier-side number is 0, a missing master-side number is null: master text arrives
-    with missing values spelled ``nan``.
+    with missing values spelled ``nan``. Text is repaired, numbers are only cast.
     """
-    present = [c for c in fv.NUMERIC_COLUMNS if c in df.columns]
-    return df.withColumns({
-        c: numeric.repaired_number(F.col(c), None if c in MASTER_NUMBERS else 0.0, decimal_comma) for c in present})
+    kinds = dict(df.dtypes)
 
+    def repaired(name: str) -> Column:
+        missing = None if name in MASTER_NUMBERS else 0.0
+        if kinds[name] == "string":
+            return numeric.repaired_number(F.col(name), missing, decimal_comma)
+        number = F.col(name).cast("double")
+        return numeric.nan_to_null(number if missing is None else F.coalesce(number, F.lit(missing)))
 
-def add_supplier_features(supplier: DataFrame, tobacco: bool = False, compat: bool = False) -> DataFrame:
-    """What depends on a supplier row only: article numbers, mined title columns, brand.
+    return df.withColumns({c: repaired(c) for c in fv.NUMERIC_COLUMNS if c in kinds})
 
-    Done before pairing, a row is mined once and not once for each of its candidates.
+
+def add_supplier_features(supplier: DataFrame, tobacco: bool = False, compat: bool = False,
+                          decimal_comma: bool = False) -> DataFrame:
+    """What depends on a supplier row only: article numbers, mined title columns, brand, repaired numbers.
+
+    Done before pairing, a row is mined and repaired once and not once for each of its candidates.
+    Titles stay as they are until the pairs are scored.
     """
     supplier = supplier.withColumn("eans", ean.ean_list(F.col("eans"), compat))
-    return add_title_features(supplier, "title", tobacco)
+    mined = add_title_features(supplier, "title", tobacco)
+    return repair_types(blanks_to_null(mined, TITLES), decimal_comma)
 
 
-def add_master_features(master: DataFrame, compat: bool = False) -> DataFrame:
-    """What depends on a master row only: its article numbers merged."""
+def add_master_features(master: DataFrame, compat: bool = False, decimal_comma: bool = False) -> DataFrame:
+    """What depends on a master row only: its article numbers merged, its numbers repaired."""
     merged = ean.merged_eans(*[F.col(c) for c in fv.MASTER_EAN_COLUMNS], compat=compat)
-    return master.withColumn("merge_eans", merged).drop(*fv.MASTER_EAN_COLUMNS)
+    slim = master.withColumn("merge_eans", merged).drop(*fv.MASTER_EAN_COLUMNS)
+    return repair_types(blanks_to_null(slim, TITLES), decimal_comma)
 
 
-def add_pair_features(pairs: DataFrame, decimal_comma: bool = False) -> DataFrame:
-    """Repair the numbers and add score, price, article-number and size features (CAST1, FEA1-3, EAN3-4)."""
-    fixed = repair_types(blanks_to_null(pairs), decimal_comma)
-    return (fixed
+def add_pair_features(pairs: DataFrame) -> DataFrame:
+    """Score, price, article-number and size features of scored pairs (FEA1-3, EAN3-4)."""
+    return (pairs
             .withColumns({
+                **{c: blank_to_null(F.col(c)) for c in TITLES if c in pairs.columns},
                 "wg_sim_score": numeric.weighted_score(F.col("lev"), F.col("jwrink")),
                 "price_diff": numeric.absolute_difference(F.col("mas_dpc"), F.col("default_price_cents")),
                 "common_eans": ean.common_eans(F.col("merge_eans"), F.col("eans")),
@@ -60,5 +72,5 @@ def add_pair_features(pairs: DataFrame, decimal_comma: bool = False) -> DataFram
 def feature_pipeline(scored: DataFrame, tobacco: bool = False, compat: bool = False,
                      decimal_comma: bool = False) -> DataFrame:
     """All features over a table of scored pairs with both sides' raw columns (FEAT)."""
-    with_sides = add_master_features(add_supplier_features(scored, tobacco, compat), compat)
-    return add_pair_features(with_sides, decimal_comma)
+    mined = add_title_features(scored.withColumn("eans", ean.ean_list(F.col("eans"), compat)), "title", tobacco)
+    return add_pair_features(add_master_features(mined, compat, decimal_comma))

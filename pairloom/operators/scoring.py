@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions import similarity as sim
+from pairloom.operators.skew import join_back
 
 # which measure each token column holds when the mix-up of labels is wanted as it is
 MIXED_LABELS = {"cos": "melkan", "stfidf": "jacrd", "jacrd": "cos", "melkan": "stfidf"}
@@ -30,4 +31,4 @@ def score_pairs(pairs: DataFrame, title: str = "title", master_title: str = "mas
     ``add_scores`` saves the two shuffles. Rows without a title on either side drop out.
     """
     scored = add_scores(pairs.select(title, master_title).distinct(), title, master_title, names, compat)
-    return pairs.join(scored, [title, master_title]).select(*pairs.columns, *names)
+    return join_back(pairs, scored, [title, master_title]).select(*pairs.columns, *names)

@@ -29,7 +29,7 @@ def chosen_method(method: str) -> str:
 
 
 def feature_pairs(supplier: DataFrame, master: DataFrame, k: int = fv.TOP_CANDIDATES, tobacco: bool = False,
-                  compat: bool = False, names: list[str] = fv.SCORE_COLUMNS,
+                  compat: bool = False, decimal_comma: bool = False, names: list[str] = fv.SCORE_COLUMNS,
                   pairs: DataFrame | None = None) -> DataFrame:
     """Candidate pairs with scores and features, lazily.
 
@@ -39,7 +39,8 @@ def feature_pairs(supplier: DataFrame, master: DataFrame, k: int = fv.TOP_CANDID
     master = drop_supplier_side(master)
     if pairs is None:
         pairs = tfidf_blocking(supplier, master, k=k).select("sup_id", "m_id")
-    wide = rebuild_pairs(pairs, add_supplier_features(supplier, tobacco, compat), add_master_features(master, compat))
+    wide = rebuild_pairs(pairs, add_supplier_features(supplier, tobacco, compat, decimal_comma),
+                         add_master_features(master, compat, decimal_comma))
     return add_pair_features(score_pairs(wide, names=names, compat=compat))
 
 

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from pairloom import fixed_values as fv
-from pairloom.operators.features import add_master_features, add_pair_features, add_supplier_features
+from pairloom.operators.features import feature_pipeline
 from pairloom.operators.models import evaluate_models, train_models
 from pairloom.operators.scoring import score_pairs
 from pairloom.operators.synthetic import synthetic_pairs
@@ -20,7 +20,7 @@ def training_set(master: DataFrame, iterations: int = fv.SHUFFLE_ITERATIONS, see
     """Synthetic pairs with scores, features and ``match`` (SYN2)."""
     pairs = synthetic_pairs(master.dropna(subset=["title", "mas_title"]), iterations, seed)
     scored = score_pairs(pairs, names=names, compat=compat)
-    return add_pair_features(add_master_features(add_supplier_features(scored, tobacco, compat), compat))
+    return feature_pipeline(scored, tobacco, compat)
 
 
 def train(training: DataFrame, model_folder: str | None = None,
