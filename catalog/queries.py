@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import views
+from pairloom import fixed_values as fv
 from pairloom.functions import ean, numeric
 from pairloom.operators import blocking, evaluate, features, models, ranking, rules, scoring, standardise, synthetic
 from pairloom.operators import titles as mining
@@ -259,7 +260,8 @@ def feature_pipeline(spark, sf_dir):
 # -- rules and ranking ----------------------------------------------------------------------------
 
 def _ruled(spark, sf_dir, rule_no):
-    found = rules.classify_by_rule(materialize(jaro_features(spark, sf_dir), "features"), rule_no)
+    pairs = materialize(jaro_features(spark, sf_dir).select(*MATCH_COLUMNS), "features")
+    found = rules.classify_by_rule(pairs, rule_no)
     return found.select("sup_id", "m_id", rounded("wg_sim_score"), "match_pred")
 
 
@@ -280,7 +282,8 @@ def rule_3(spark, sf_dir):
 
 @query
 def rule_features(spark, sf_dir):
-    found = rules.add_rule_features(materialize(jaro_features(spark, sf_dir), "features"))
+    found = rules.add_rule_features(
+        materialize(jaro_features(spark, sf_dir).select(*MATCH_COLUMNS), "features"))
     prices = F.transform("price_knn", lambda p: p.cast("long").cast("string"))
     return found.select("sup_id", "m_id", rounded("wg_sim_score_max"), F.array_join(prices, "|").alias("price_knn"))
 
@@ -300,13 +303,9 @@ def synthetic_pairs(spark, sf_dir):
 
 @query
 def standardise_features(spark, sf_dir):
-    pairs = jaro_features(spark, sf_dir).select("sup_id", "m_id", *standardise_columns())
-    scaled = standardise.scaling_stage(standardise.fit_stats(pairs, standardise_columns())).transform(pairs)
-    return scaled.select("sup_id", "m_id", *[rounded(f"z_{c}") for c in standardise_columns()])
-
-
-def standardise_columns() -> list[str]:
-    return ["wg_sim_score", "price_diff", "ean_match_flag", "size_diff"]
+    pairs = materialize(jaro_features(spark, sf_dir).select("sup_id", "m_id", *fv.MODEL_FEATURES), "features")
+    scaled = standardise.scaling_stage(standardise.fit_stats(pairs, fv.MODEL_FEATURES)).transform(pairs)
+    return scaled.select("sup_id", "m_id", *[rounded(f"z_{c}") for c in fv.MODEL_FEATURES])
 
 
 @query

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.session import spread
+
 MASTER_ITEMS = """
 select p_partkey as m_id, concat(p_name, ' ', p_brand) as mas_title, round(p_retailprice * 100, 0) as mas_dpc,
        cast(p_size as double) as mas_size, p_type as mas_cat_id, p_brand as mas_brand, p_size as mas_class,
@@ -37,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _over_part(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+    part = spread(table(spark, sf_dir, "part"))
+    return spark.sql(text.replace("from part", "from {part}"), part=part)
 
 
 def master_items(spark: SparkSession, sf_dir: str) -> DataFrame:

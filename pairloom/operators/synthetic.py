@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.text import strip
 
 BUCKET_DIGITS = 4
 
@@ -50,18 +51,19 @@ def permute_within(df: DataFrame, group: Column, values: list[str], row_id: str,
 
 
 def synthetic_pairs(master: DataFrame, iterations: int = fv.SHUFFLE_ITERATIONS, seed: int = fv.SPLIT_SEED,
-                    category: str = "mas_cat_id") -> DataFrame:
+                    category: str = "mas_cat_id", carried: list[str] = ()) -> DataFrame:
     """Originals labelled 1 and in-category shuffles of the supplier side (SYN1, SET2, PRJ6).
 
     A shuffled row is labelled 1 where it got values equal to its own. ``iteration`` is 0 for the
-    originals. Rows without a category form one group, as the text ``nan`` does.
+    originals. Rows without a category form one group, as the text ``nan`` does. Columns ``carried``
+    belong to the supplier side and move with it, but have no say in the label.
     """
     values = [c for c in fv.MASTER_SUPPLIER_COLUMNS if c in master.columns]
-    cleaned = master.withColumn("title", F.trim("title"))
-    own = F.struct(*values)
-    originals = cleaned.withColumns({"match": F.lit(1), "iteration": F.lit(0)})
+    originals = master.withColumns({"match": F.lit(1), "iteration": F.lit(0)})
     group = F.coalesce(F.col(category).cast("string"), F.lit("nan"))
-    shuffled = permute_within(cleaned, group, values, "m_id", iterations, seed)
-    shuffled = shuffled.withColumn("match", F.when(own.eqNullSafe(F.col("_taken")), 1).otherwise(0))
-    shuffled = shuffled.withColumns({v: F.col(f"_taken.{v}") for v in values}).drop("_taken")
-    return originals.unionByName(shuffled.select(originals.columns))
+    shuffled = permute_within(master, group, [*values, *carried], "m_id", iterations, seed)
+    taken = F.struct(*[F.col(f"_taken.{v}") for v in values])
+    shuffled = shuffled.withColumn("match", F.when(F.struct(*values).eqNullSafe(taken), 1).otherwise(0))
+    shuffled = shuffled.withColumns({v: F.col(f"_taken.{v}") for v in [*values, *carried]}).drop("_taken")
+    both = originals.unionByName(shuffled.select(originals.columns))
+    return both.withColumn("title", strip(F.col("title")))

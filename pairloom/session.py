@@ -76,6 +76,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores, over all cores; others as they are.
+
+    One small or unsplittable file is one task up to the first shuffle, however heavy the work on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the executors, as ``--py-files`` would; the Arrow UDF imports it there."""
     if getattr(spark.sparkContext, "_pairloom_shipped", False):

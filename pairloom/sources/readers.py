@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
-from pairloom.session import materialize
+from pairloom.session import materialize, spread
 
 SUPPLIER_REQUIRED = ["title", "default_price_cents", "eans"]
 MASTER_REQUIRED = ["mas_title", *fv.MASTER_EAN_COLUMNS]
@@ -20,9 +20,9 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     """
     name = path.rstrip("/").lower()
     if name.endswith(".parquet"):
-        return spark.read.parquet(path)
+        return spread(spark.read.parquet(path))
     if name.endswith((".csv", ".csv.gz")):
-        return spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path)
+        return spread(spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path))
     raise ValueError(f"unknown kind of table: {path} (export it to .csv or .parquet)")
 
 
