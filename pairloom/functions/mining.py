@@ -44,7 +44,11 @@ def extract_cascade(df: DataFrame, term: str, patterns: list[str]) -> DataFrame:
         changed[term] = F.when(hit, F.regexp_replace(text, fv.to_jvm(pattern), "")).otherwise(text)
         return frame.withColumns(changed)
 
-    return reduce(step, patterns, df)
+    done = reduce(step, patterns, df)
+    # A filter on a mined column must stay above the chain: moved below, it would repeat every pattern
+    # in every later one. Filters on the output of a generator are not moved.
+    mined = [term, *CASCADE_FIELDS, "unit_seen"]
+    return done.select(*[c for c in done.columns if c not in mined], F.inline(F.array(F.struct(*mined))))
 
 
 def pack_pieces(pack: Column) -> Column:

@@ -118,3 +118,10 @@ def test_title_case_equals_python(spark, text):
 def test_pack_pieces(spark):
     df = spark.createDataFrame([("4 x 6",), ("3/4",), ("7",)], "p string")
     assert [int(r[0]) for r in df.select(mining.pack_pieces(F.col("p"))).collect()] == [24, 12, 0]
+
+
+def test_filters_stay_out_of_the_cascade(spark):
+    """A filter moved into the chain would double at every pattern and never finish planning."""
+    df = spark.createDataFrame([("Cola 6x0,5 l",), ("Pommes",)], "title string")
+    mined = mine_titles(df, tobacco=False).where("size is not null and pieces = '6'")
+    assert [r.title for r in mined.collect()] == ["Cola"]
