@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairloom import fixed_values as fv
 from pairloom.operators.evaluate import class_1_metrics, classification_report
 from pairloom.operators.standardise import Stats, fit_stats, scaling_stage
+from pairloom.session import scratch_root
 
 BOOSTED = "XG_Boost"
 LABEL = "match"
@@ -62,6 +63,9 @@ def train_models(training: DataFrame, keys: list[str] = (), scale_before_split:
     The scaler is fitted on the training rows; ``scale_before_split`` fits it on all rows instead.
     The prepared training rows are cached while the classifiers pass over them many times.
     """
+    context = training.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # the boosted trees cut their lineage every ten rounds
+        context.setCheckpointDir(scratch_root(training.sparkSession))
     data = training_columns(training, keys)
     train, test = split_train_test(data, keys=list(keys) or None)
     stats = fit_stats(data if scale_before_split else train, fv.MODEL_FEATURES)
