@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import exact_dedup
+from pairloom.llm import bpe_chunks, exact_dedup
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,26 @@ def query(sql: str | None = None):
     return add
 
 
+def word_bpe_path() -> str:
+    """The tokenizer that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe_chunks.encode(docs.select("doc_id", "text"), word_bpe_path())
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents),
      r AS (SELECT doc_id, sha256(t) AS d, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS i,
