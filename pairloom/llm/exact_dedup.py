@@ -43,8 +43,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # steps one and two: numbers only
     narrow = materialize(keyed.groupBy("id", "n", "prefix").agg(F.count("*").alias("rows")), "dedup_keys")
     lengths = narrow.groupBy("n").agg(F.sum("rows").alias("of_length")).where("of_length > 1").select("n")
-    prefixes = narrow.join(lengths, "n").groupBy("n", "prefix").agg(F.sum("rows").alias("of_prefix"))
-    survivors = prefixes.where("of_prefix > 1").select("n", "prefix", F.lit(True).alias("company"))
+    prefixes = narrow.groupBy("n", "prefix").agg(F.sum("rows").alias("of_prefix"))  # before the join: a hot length can be split there
+    survivors = prefixes.join(lengths, "n").where("of_prefix > 1").select("n", "prefix", F.lit(True).alias("company"))
     # step three: the digest, compared among survivors only
     read = keyed.select("id", "n", "prefix", F.sha2("t", 256).alias("digest"))
     read = materialize(read.groupBy("id", "n", "prefix", "digest").agg(F.count("*").alias("rows")), "dedup_digests")
