@@ -112,7 +112,7 @@ def land(p: np.ndarray, size: np.ndarray, missing: float) -> np.ndarray:
 
 def _settle(last: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("mix", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("size", "descending"), ("mix", "ascending")])  # small documents are open last
         p, size = table["p"].to_numpy(), table["size"].to_numpy().astype(float)
         seed = zlib.crc32(repr((table["source"][0].as_py(), table["part"][0].as_py(), len(table))).encode())
         new = fly(p, size, np.random.default_rng(seed).random(len(p) + 1))
