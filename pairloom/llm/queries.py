@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, exact_dedup
-from pairloom.llm.common import table
+from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, exact_dedup, toxicity_mil
+from pairloom.llm.common import id_crc, table
 from pairloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,16 @@ def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+@query()
+def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_mil.score(docs, toxicity_mil.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (id_crc() % 3 == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity_mil.TOXIC).cast("int").alias("predicted"), F.size("offending").alias("n_offending"),
+    )
+
+
 PLANTED = r"\### Assistant: </turn> ok"
 
 
