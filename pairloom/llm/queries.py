@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, exact_dedup, topk_threshold, toxicity_mil
+from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, dart_minhash, exact_dedup, topk_threshold, toxicity_mil
 from pairloom.llm.common import id_crc, table
 from pairloom.session import ship_package
 
@@ -78,6 +78,12 @@ def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+@query()
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("keeper").alias("kept"))
+
+
 @query()
 def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
