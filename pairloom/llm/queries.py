@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, dart_minhash, exact_dedup, suffix_dedup, topk_threshold, toxicity_mil
+from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, dart_minhash, exact_dedup, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
 from pairloom.llm.common import id_crc, table
 from pairloom.session import ship_package
 
@@ -129,3 +129,10 @@ def op8_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"),
     )
     return chat_grammar.digests(chat_grammar.format_conversations(turns.unionByName(planted)))
+
+
+@query()
+def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_weak.personal_data(table(spark, sf_dir, "documents"))
+    of = [F.size(F.filter("base", lambda x: x["kind"] == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii_weak.KINDS)]
+    return out.select(F.col("id").alias("doc_id"), *of, F.sha2(pii_weak.text_of(F.col("base")), 256).alias("base_sha256"), pii_weak.text_of(F.col("spans")).alias("spans"))
