@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe_chunks, chat_grammar, cube_mix, dart_minhash, exact_dedup, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
+from pairloom.llm import bpe_chunks, brown_lm, chat_grammar, cube_mix, dart_minhash, exact_dedup, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
 from pairloom.llm.common import id_crc, table
 from pairloom.session import ship_package
 
@@ -60,6 +60,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query()
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
