@@ -12,9 +12,9 @@ Weights are 1 (plain Jaccard, the default) or the shingle's count.
 Join: documents with equal shingle sets are one node (no pairs among copies). Signatures are cut into ``BANDS`` bands of
 ``ROWS`` coordinates; documents that share a band are a bucket. At similarity 0.8 a pair misses all bands with a probability of 3e-6. In each bucket every
 document is held against the bucket's first one. A bucket whose documents then all are in one component is done: more links
-could not change a class. The others hold unlike documents; there all pairs across components are looked at in blocks,
-inside tasks, by their sketches (a byte a coordinate), and pairs whose sketches leave 0.8 possible (6 standard errors) go on.
-All candidates are verified on their exact shingle sets. So the class of each document is that of all links, without a cap.
+could not change a class. The others hold unlike documents; there all pairs across components are compared in blocks, inside
+tasks, which give out one link to each component that a document reaches. Every link is verified on whole shingle sets, and no pair that
+shares a bucket goes unseen unless its class is settled. So classes are those of all links, without a cap.
 
 Defined results: null text is empty text. A text of one to four words has one shingle of all its words; texts without words have
 the empty set and are one class. Words compare with A-Z in lower case. Repeated rows are one node and have one class. An empty table gives
@@ -135,40 +135,42 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
                 signature, size, a, b = signatures(texts, k, weighted)
                 keys = band_keys(signature, bands, rows).ravel()
                 keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
-                sketch = [x.tobytes() for x in signature.astype(np.uint8)]
-                columns = [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys, pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "set_a", "set_b", "bands", "sketch"])
+                columns = [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "set_a", "set_b", "bands"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key binary, id {id_type}, size bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch binary")
+    return docs.mapInArrow(run, f"key binary, id {id_type}, size bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
-def _alike(similarity: float, k: int):
-    """Which sketches leave ``similarity`` possible: equal bytes below the mean by 6 standard errors do not."""
-    chance = 1 / 256
-    p = similarity + (1 - similarity) * chance
-    least = k * p - 6 * sqrt(k * p * (1 - p))
-    return lambda a, b: (a == b).sum(axis=-1) >= least
-
-
-def _pairs_in_block(similarity: float, k: int):
-    alike = _alike(similarity, k)
+def _links_in_block(similarity: float):
+    """One link, verified on the whole sets, from each document to each other component that it is linked to in the block."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
+        table = table.sort_by("key").combine_chunks()
         keys, side = table["key"].to_pylist(), table["side"].to_numpy()
         part = table["component"].to_pylist()
         number = {c: i for i, c in enumerate(dict.fromkeys(part))}
-        comp, size = np.array([number[c] for c in part]), table["size"].to_numpy()
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(keys), k)
+        comp = np.array([number[c] for c in part])
+        sets = table["shingles"].combine_chunks()
+        starts = sets.offsets.to_numpy()[:-1] - sets.offsets[0].as_py()
+        names, each = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        size = np.diff(np.concatenate((starts, [len(each)])))
+        mark = np.zeros(len(names), np.int32)
         same_block = len(np.unique(side)) == 1
+        largest = np.bincount(comp).argmax()
         left, right = [], []
-        for i in range(len(keys)):
-            other = np.arange(i + 1, len(keys)) if same_block else np.flatnonzero(side == 1) if side[i] == 0 else np.empty(0, np.int64)
-            other = other[(comp[other] != comp[i]) & (np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9)]
-            other = other[alike(sketch[i], sketch[other])]
-            left += [keys[i]] * len(other)
-            right += [keys[j] for j in other]
+        for i in np.flatnonzero(comp != largest):  # each pair across components has such a document
+            own = each[starts[i] : starts[i] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[each], starts)
+            mark[own] = 0
+            linked = (both >= similarity * (size + size[i] - both) - 1e-9) & (comp != comp[i])
+            if not same_block:
+                linked &= side != side[i]
+            hits = np.flatnonzero(linked)
+            for j in hits[np.unique(comp[hits], return_index=True)[1]]:
+                left.append(keys[i])
+                right.append(keys[j])
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return run
@@ -182,12 +184,16 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(starts, pa.array(shingle.view(np.int64)))], names=["key", "shingles"])
 
 
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shingle sets of the documents in ``wanted`` (``key``); only their texts are read into sets."""
+    texts = docs.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    return materialize(texts.mapInArrow(_shingles, "key binary, shingles array<bigint>"), "near_sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are similar enough; their texts are read again, others not."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = docs.join(wanted, "key", "left_semi").select("key", "text")
-    sets = materialize(texts.mapInArrow(_shingles, "key binary, shingles array<bigint>").dropDuplicates(["key"]), "near_sets")
+    sets = _sets(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -203,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.groupBy("set_a", "set_b", "size").agg(F.min("key").alias("node"))
     signed_nodes = signed.join(nodes, ["set_a", "set_b", "size"])
     members = materialize(signed_nodes.select("key", "id", "node"), "near_members")
-    single = signed_nodes.where((F.col("key") == F.col("node")) & (F.col("size") > 0)).select("key", "size", "bands", "sketch").dropDuplicates(["key"])
+    single = signed_nodes.where((F.col("key") == F.col("node")) & (F.col("size") > 0)).select("key", "size", "bands").dropDuplicates(["key"])
     single = materialize(single, "near_nodes")
     rows_ = single.select("key", "size", F.explode("bands").alias("band"))
     buckets = materialize(rows_.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1"), "near_buckets")
@@ -214,13 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = placed.where("n > 2").join(comp, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
     known = materialize(known, "near_known")
     mixed_ = known.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("band")
-    rest = known.join(mixed_, "band").join(single.select("key", "sketch"), "key")
+    rest = materialize(known.join(mixed_, "band").select("band", "key", "component", "n"), "near_rest")
     parts = F.ceil(F.col("n") / block).cast("int")
-    rest = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    placed_ = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"), (F.col("own") > j).cast("int").alias("side")))
-    rest = rest.select("band", "key", "component", "size", "sketch", F.explode(met).alias("m")).select("band", "key", "component", "size", "sketch", "m.*")
-    across = rest.groupBy("band", "i", "j").applyInArrow(_pairs_in_block(similarity, k), "a binary, b binary")
-    more = _verified(across, keyed, similarity)
+    placed_ = placed_.select("band", "key", "component", F.explode(met).alias("m")).select("band", "key", "component", "m.*")
+    placed_ = placed_.join(_sets(keyed, rest), "key")
+    more = placed_.groupBy("band", "i", "j").applyInArrow(_links_in_block(similarity), "a binary, b binary")
     comp = components(linked.unionByName(more))
     classed = members.join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node"))
     classed = materialize(classed.select("key", "id", "component"), "near_classes")
