@@ -38,7 +38,7 @@ TOP = 512
 SWEEPS = 10
 MIX = 0.9
 BASE = 0.1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: The class of the end mark, and that of words outside TOP before their exchange.
 END, OTHER = CLASSES, CLASSES + 1
 WIDTH = CLASSES + 2
@@ -163,25 +163,24 @@ def exchange(bigrams: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
     n = len(bigrams)
     counts = bigrams.astype(float)
     classes = np.concatenate(([END], np.arange(n - 2) % CLASSES, [OTHER]))
+    hot = np.eye(WIDTH)[classes]
+    table = hot.T @ counts @ hot
     for _ in range(sweeps):
         moved = 0
         for w in range(1, n - 1):
-            hot = np.zeros((n, WIDTH))
-            others = np.arange(n) != w
-            hot[np.arange(n)[others], classes[others]] = 1
-            if w == 1:
-                table = hot.T @ counts @ hot
-            row, column = counts[w] @ hot, counts[:, w] @ hot
-            if w > 1:
-                table[classes[w]] -= row
-                table[:, classes[w]] -= column
-                table[classes[w], classes[w]] -= counts[w, w]
-            best = int(np.argmax(gains(row[None], column[None], table, counts[w, w][None])[0]))
+            self_ = counts[w, w]
+            row, column = (np.bincount(classes, x, WIDTH) for x in (counts[w], counts[:, w]))
+            row[classes[w]] -= self_
+            column[classes[w]] -= self_
+            table[classes[w]] -= row
+            table[:, classes[w]] -= column
+            table[classes[w], classes[w]] -= self_
+            best = int(np.argmax(gains(row[None], column[None], table, np.array([self_]))[0]))
             moved += best != classes[w]
             classes[w] = best
             table[best] += row
             table[:, best] += column
-            table[best, best] += counts[w, w]
+            table[best, best] += self_
         if not moved:
             break
     return classes
