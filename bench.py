@@ -11,7 +11,7 @@ import time
 from catalog.queries import registered
 from pairloom.session import get_session
 
-QUERIES = ["ngrams", "block_category", "block_tfidf_topk", "sim_all", "title_mine", "title_full", "pair_features",
+QUERIES = ["ngrams", "block_category", "block_tfidf_topk", "block_tfidf_unique", "sim_all", "title_mine", "title_full", "pair_features",
            "rule_2", "rule_3", "automatch_top3", "synthetic_pairs", "standardise_features", "eval_report",
            "training_set", "match_rule"]
 
@@ -26,6 +26,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
+                        spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
                         spark__ui__showConsoleProgress="false", spark__driver__memory="20g")
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

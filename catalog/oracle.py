@@ -7,6 +7,10 @@ from pairloom import fixed_values as fv
 
 SIDES = f"s as ({views.SUPPLIER_ITEMS}), m as ({views.MASTER_ITEMS})"
 
+UNIQUE_SIDES = f"""plain_s as ({views.SUPPLIER_ITEMS}), plain_m as ({views.MASTER_ITEMS}),
+s as (select * replace (concat(title, ' ', substr(md5(concat('sup_id', sup_id)), 1, 6)) as title) from plain_s),
+m as (select * replace (concat(mas_title, ' ', substr(md5(concat('m_id', m_id)), 1, 6)) as mas_title) from plain_m)"""
+
 
 def _keys(keys: list[tuple[str, str]]) -> str:
     return " and ".join(f"s.{a} = m.{b}" for a, b in keys)
@@ -224,6 +228,8 @@ select rep, n_rows, gram, count(*) as tf from (select rep, n_rows, {GRAMS} as gr
         "gram_idf": f"with {SIDES}, {TFIDF}\nselect gram, df, round(idf, 6) as idf from idf",
         "block_category": f"with {SIDES}\nselect s.sup_id, m.m_id from s join m on {_keys(views.BLOCK_KEYS)}",
         "block_tfidf_topk": f"""with {SIDES}, {TFIDF}
+select sup_id, m_id, round(score, 6) as cos_score, cast(rank as int) as rank from topk""",
+        "block_tfidf_unique": f"""with {UNIQUE_SIDES}, {TFIDF}
 select sup_id, m_id, round(score, 6) as cos_score, cast(rank as int) as rank from topk""",
         "block_hybrid": f"""with {SIDES}, {TFIDF}, {BLOCK_IDS}
 select sup_id, m_id from ids union select sup_id, m_id from topk""",

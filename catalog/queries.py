@@ -110,6 +110,14 @@ def block_tfidf_topk(spark, sf_dir):
     return found.select("sup_id", "m_id", rounded("cos_score"), "rank")
 
 
+@query
+def block_tfidf_unique(spark, sf_dir):
+    """The same over titles of which none repeats."""
+    found = blocking.tfidf_blocking(views.unique_titles(views.supplier_items(spark, sf_dir), "sup_id", "title"),
+                                    views.unique_titles(views.master_items(spark, sf_dir), "m_id", "mas_title"))
+    return found.select("sup_id", "m_id", rounded("cos_score"), "rank")
+
+
 @query
 def block_hybrid(spark, sf_dir):
     return blocking.hybrid_blocking(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir),

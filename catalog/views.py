@@ -6,6 +6,7 @@ The texts run unchanged in Spark and in DuckDB; every part is on both sides.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.session import spread
 
@@ -50,6 +51,12 @@ def master_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_part(spark, sf_dir, SUPPLIER_ITEMS)
 
+
+def unique_titles(df: DataFrame, row_id: str, title: str) -> DataFrame:
+    """The items with an article code in the title, so that no title repeats."""
+    return df.withColumn(title, F.concat(title, F.lit(" "), F.substring(F.md5(F.concat(F.lit(row_id), row_id).cast("binary")), 1, 6)))
+
+
 # titles in many spellings of pack, size and unit, for the mining queries
 MINING_TITLES = """
 select p_partkey as item_id,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import strip
+
 
 def ean_list(eans: Column, compat: bool = False) -> Column:
     """Supplier text of article numbers as an array (EAN1).
@@ -13,7 +15,7 @@ def ean_list(eans: Column, compat: bool = False) -> Column:
     empty entries are dropped; ``compat`` keeps empty entries and turns null into the text ``nan``.
     """
     text = F.coalesce(eans, F.lit("nan")) if compat else eans
-    text = F.regexp_replace(F.trim(F.regexp_replace(text, ",", " ")), r"\.0$", "")
+    text = F.regexp_replace(strip(F.regexp_replace(text, ",", " ")), r"\.0$", "")
     entries = F.split(text, " ")
     if compat:
         return entries

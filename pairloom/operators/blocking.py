@@ -13,7 +13,8 @@ in both suffixes, so their cosine is at most ``suf_s(g) * suf_m(g)`` (Cauchy-Sch
    strongest ``k`` titles of a few of its rare grams). The k-th best of those is a lower bound of the
    true k-th score: the floor of that title.
 2. *Candidates.* A pair can only reach the floor if it shares a gram with
-   ``suf_s * suf_m >= floor``. Frequent grams come last, have small suffixes and drop out for almost
+   ``suf_s * suf_m >= floor``, and if what it has in these grams and the most it can have behind them
+   come to the floor together. Frequent grams come last, have small suffixes and drop out for almost
    every title; where a title has nothing else they stay in, and the result is still whole.
 3. *Scoring* of those pairs only, and the top-k.
 
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions import text as tx
-from pairloom.operators.skew import every_slice, own_slice
+from pairloom.operators.skew import every_slice, join_back, own_slice
 from pairloom.session import materialize
 
 SCORE_DIGITS = 9
 SLACK = 1e-9  # float sums differ in the last bits; bounds give way by this much
+ROOT_SLACK = 1e-7  # the same for a norm that is the root of a difference
 
 
 def drop_missing_titles(df: DataFrame, title: str) -> DataFrame:
@@ -102,7 +104,13 @@ def _postings(vectors: DataFrame, title: str, entries: Column) -> DataFrame:
     """One row per vector entry: gram, df, the title's name, and w and suf under the title's prefix."""
     return (vectors.select(F.col("rep").alias(title), F.explode(entries).alias("e"))
             .select(title, F.col("e.gram").alias("gram"), F.col("e.df").alias("df"),
-                    F.col("e.w").alias(f"{title}_w"), F.col("e.suf").alias(f"{title}_suf")))
+                    F.col("e.w").alias(f"{title}_w"), F.col("e.suf").alias(f"{title}_suf"), _after("e").alias(f"{title}_after")))
+
+
+def _after(entry: str) -> Column:
+    """An upper bound for the norm of a title's weights behind a vector entry."""
+    rest = F.col(f"{entry}.suf") * F.col(f"{entry}.suf") - F.col(f"{entry}.w") * F.col(f"{entry}.w")
+    return F.sqrt(F.greatest(rest, F.lit(0.0))) + ROOT_SLACK
 
 
 def _cosines(pairs: DataFrame, s_vectors: DataFrame, m_vectors: DataFrame) -> DataFrame:
@@ -144,28 +152,35 @@ def _floors(s_vectors: DataFrame, m_vectors: DataFrame, k: int, seed_grams: int)
                  .where(F.col("strength") <= k).select("gram", "m"))
     n_short = F.size(F.filter("vec", lambda e: e["df"] < k))
     seeds = F.filter("vec", lambda e, i: (i < seed_grams) | ((i >= n_short) & (i < n_short + seed_grams)))
-    pairs = _postings(s_vectors, "s", seeds).join(champions, "gram").select("s", "m").distinct()
+    pairs = join_back(_postings(s_vectors, "s", seeds), champions, ["gram"]).select("s", "m").distinct()
     best = _best_titles(_cosines(pairs, s_vectors, m_vectors), k)
     return best.groupBy("s").agg(
         F.when(F.sum("m_rows") >= k, F.min("score")).otherwise(F.lit(0.0)).alias("floor"))
 
 
 def _candidates(s_vectors: DataFrame, m_vectors: DataFrame, floors: DataFrame) -> DataFrame:
-    """Title pairs (s, m) that can reach the floor of s; see the module text."""
+    """Title pairs (s, m) that can reach the floor of s; see the module text.
+
+    The gram join adds up what a pair has in its shared grams. Grams that are no longer joined come after the last joined one, so
+    they add at most the product of both norms behind it: the least such product over the joined grams.
+    """
     bounded = s_vectors.join(floors.withColumnRenamed("s", "rep"), "rep", "left").withColumn(
         "floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
     needed = F.filter("vec", lambda e: e["suf"] >= F.col("floor"))
     left = (bounded.select(F.col("rep").alias("s"), "floor", F.explode(needed).alias("e"))
             .select("s", F.col("e.gram").alias("gram"), F.col("e.df").alias("df"),
+                    F.col("e.w").alias("w"), _after("e").alias("after"), "floor",
                     (F.col("floor") / F.col("e.suf")).alias("need")))
     # master entries below what every supplier title needs of the gram stay out of the second join
     weakest = left.groupBy("gram").agg(F.min("need").alias("weakest_need"))
-    right = (_postings(m_vectors, "m", F.col("vec")).join(weakest, "gram")
+    right = (join_back(_postings(m_vectors, "m", F.col("vec")), weakest, ["gram"])
              .where(F.col("m_suf") >= F.col("weakest_need") - SLACK)
-             .select("gram", own_slice(F.col("m"), F.col("df")).alias("slice"), "m", "m_suf"))
-    left = left.select("s", "gram", "need", F.explode(every_slice(F.col("df"))).alias("slice"))
+             .select("gram", own_slice(F.col("m"), F.col("df")).alias("slice"), "m", "m_w", "m_suf", "m_after"))
+    left = left.select("s", "gram", "need", "w", "after", "floor", F.explode(every_slice(F.col("df"))).alias("slice"))
     return (left.join(right, ["gram", "slice"]).where(F.col("m_suf") >= F.col("need") - SLACK)
-            .select("s", "m").distinct())
+            .groupBy("s", "floor", "m")
+            .agg(F.sum(F.col("w") * F.col("m_w")).alias("partial"), F.min(F.col("after") * F.col("m_after")).alias("rest"))
+            .where(F.col("partial") + F.col("rest") >= F.col("floor")).select("s", "m"))
 
 
 def tfidf_blocking(supplier: DataFrame, master: DataFrame, title: str = "title", master_title: str = "mas_title",

@@ -28,7 +28,8 @@ def score_pairs(pairs: DataFrame, title: str = "title", master_title: str = "mas
     """Score every distinct pair of titles once and join the scores back.
 
     Scores depend on the two titles only, and titles repeat on both sides. Where they do not,
-    ``add_scores`` saves the two shuffles. Rows without a title on either side drop out.
+    ``add_scores`` saves the two shuffles. Rows without a title on either side stay, without scores.
     """
-    scored = add_scores(pairs.select(title, master_title).distinct(), title, master_title, names, compat)
-    return join_back(pairs, scored, [title, master_title]).select(*pairs.columns, *names)
+    titles = pairs.select(title, master_title).where(F.col(title).isNotNull() & F.col(master_title).isNotNull()).distinct()
+    scored = add_scores(titles, title, master_title, names, compat)
+    return join_back(pairs, scored, [title, master_title], "left").select(*pairs.columns, *names)

@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # scoring is heavy for the few bytes it reads, so small stages may keep all their tasks
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
