@@ -39,6 +39,8 @@ SWEEPS = 10
 MIX = 0.9
 BASE = 0.1
 BLOCK_BYTES = 6 << 20
+BLOCKS_A_BATCH = 2
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The class of the end mark, and that of words outside TOP before their exchange.
 END, OTHER = CLASSES, CLASSES + 1
 WIDTH = CLASSES + 2
@@ -334,26 +336,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     blocks = materialize(_blocks(rows), "lm_blocks")
-    names = frequent_words(blocks, top)
-    bigrams = top_bigrams(blocks, names)
-    classes = exchange(bigrams)
-    hot = np.eye(WIDTH)[classes]
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = blocks.select("block", "held", "lengths", "tokens", "words", "counts").mapInArrow(
-        _to_buckets(names, classes, buckets),
-        "block bigint, bucket int, words string, numbers binary, counts binary, entry_word binary, entry_class binary, entry_n binary",
-    )
-    placed = packed.groupBy("bucket").applyInArrow(_classify(names, classes, hot.T @ bigrams @ hot), "block bigint, numbers binary, totals binary, classes binary, distinct bigint")
-    placed = materialize(placed, "lm_classes")
-    n = int(bigrams.sum())  # every training token follows one
-    ends = int(bigrams[:, 0].sum())
-    v = int(placed.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]) + (ends > 0)
-    own = placed.groupBy("block").agg(F.collect_list(F.struct("numbers", "totals", "classes")).alias("known"))
-    whole = blocks.select("block", "ids", "held", "lengths", "tokens", F.size("words").alias("size")).join(own, "block", "left").drop("block")
-    joined = whole.mapInArrow(_joined, f"ids array<{id_type}>, held binary, lengths binary, tokens binary, totals binary, classes binary, pairs binary")
-    joined = materialize(joined, "lm_joined")
-    table = np.zeros(WIDTH * WIDTH)
-    for r in joined.select("pairs").mapInArrow(_pair_sums, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        table[r["at"]] = r["n"]
-    out = joined.drop("pairs").mapInArrow(_scorer(table.reshape(WIDTH, WIDTH), n, v, ends), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    # a row is a block of some MB from here on: a batch of the usual ten thousand would hold a task's whole input
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BLOCKS_A_BATCH)
+    try:
+        names = frequent_words(blocks, top)
+        bigrams = top_bigrams(blocks, names)
+        classes = exchange(bigrams)
+        hot = np.eye(WIDTH)[classes]
+        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        packed = blocks.select("block", "held", "lengths", "tokens", "words", "counts").mapInArrow(
+            _to_buckets(names, classes, buckets),
+            "block bigint, bucket int, words string, numbers binary, counts binary, entry_word binary, entry_class binary, entry_n binary",
+        )
+        placed = packed.groupBy("bucket").applyInArrow(_classify(names, classes, hot.T @ bigrams @ hot), "block bigint, numbers binary, totals binary, classes binary, distinct bigint")
+        placed = materialize(placed, "lm_classes")
+        n = int(bigrams.sum())  # every training token follows one
+        ends = int(bigrams[:, 0].sum())
+        v = int(placed.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]) + (ends > 0)
+        own = placed.groupBy("block").agg(F.collect_list(F.struct("numbers", "totals", "classes")).alias("known"))
+        whole = blocks.select("block", "ids", "held", "lengths", "tokens", F.size("words").alias("size")).join(own, "block", "left").drop("block")
+        joined = whole.mapInArrow(_joined, f"ids array<{id_type}>, held binary, lengths binary, tokens binary, totals binary, classes binary, pairs binary")
+        joined = materialize(joined, "lm_joined")
+        table = np.zeros(WIDTH * WIDTH)
+        for r in joined.select("pairs").mapInArrow(_pair_sums, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            table[r["at"]] = r["n"]
+        out = joined.drop("pairs").mapInArrow(_scorer(table.reshape(WIDTH, WIDTH), n, v, ends), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        return materialize(out.withColumn("train_tokens", F.lit(n).cast("long")), "lm_scores")
+    finally:
+        spark.conf.set(_BATCH, before)
