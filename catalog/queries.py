@@ -383,6 +383,24 @@ def csv_round_trip(spark, sf_dir):
     return back.withColumn("default_price_cents", numeric.repaired_number(F.col("default_price_cents")))
 
 
+@query
+def csv_master(spark, sf_dir):
+    """A master file without ids: rows get their place in the file, whatever the splits."""
+    folder = new_folder(spark, "exchange")
+    writers.write_table(views.master_items(spark, sf_dir).drop("mas_brand", "mas_class").orderBy("m_id").drop("m_id").coalesce(1), f"{folder}/master.csv")
+    return readers.read_master(spark, f"{folder}/master.csv").select("m_id", "mas_title", "p_id")
+
+
+@query
+def match_files(spark, sf_dir):
+    """The whole rule-based job with all its scores, from CSV files to CSV files; the best matches are read back."""
+    folder = new_folder(spark, "job")
+    writers.write_table(views.supplier_items(spark, sf_dir).drop("sup_brand", "sup_class"), f"{folder}/supplier.csv")
+    writers.write_table(views.master_items(spark, sf_dir).drop("mas_brand", "mas_class"), f"{folder}/master.csv")
+    matching.run(spark, f"{folder}/supplier.csv", f"{folder}/master.csv", f"{folder}/results", matching.RULE_BASED)
+    return spark.read.options(header=True, escape='"').csv(f"{folder}/results/{matching.RULE_BASED}_automatch")
+
+
 @query
 def match_rule(spark, sf_dir):
     """The whole rule-based job with the scores its rule reads: best three matches of every item."""

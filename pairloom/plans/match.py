@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from pairloom import fixed_values as fv
-from pairloom.operators.blocking import tfidf_blocking
+from pairloom.operators.blocking import hybrid_blocking, tfidf_blocking
 from pairloom.operators.features import add_master_features, add_pair_features, add_supplier_features
 from pairloom.operators.models import BOOSTED, predict
 from pairloom.operators.pairs import drop_supplier_side, rebuild_pairs
@@ -65,12 +65,14 @@ def match(features: DataFrame, method: str = BOTH, rule_no: int = 3, model: Pipe
 
 def run(spark, supplier_path: str, master_path: str, result_folder: str, method: str = BOTH,
         model_folder: str | None = None, rule_no: int = 3, tobacco: bool = False, compat: bool = False,
-        refit: bool = False, kind: str = "csv") -> dict[str, tuple[DataFrame, DataFrame]]:
-    """The whole job from files to files (PIPE4)."""
+        refit: bool = False, kind: str = "csv", k: int = fv.TOP_CANDIDATES, decimal_comma: bool = False,
+        keys: list[tuple[str, str]] | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The whole job from files to files (PIPE4); ``keys`` adds the pairs of key blocking (SET1)."""
     wanted = chosen_method(method)
     model = load_model(f"{model_folder}/{BOOSTED}") if wanted != RULE_BASED else None
-    features = feature_pairs(read_supplier(spark, supplier_path), read_master(spark, master_path),
-                             tobacco=tobacco, compat=compat)
+    supplier, master = read_supplier(spark, supplier_path), read_master(spark, master_path)
+    pairs = hybrid_blocking(supplier, drop_supplier_side(master), keys, k=k) if keys else None
+    features = feature_pairs(supplier, master, k, tobacco, compat, decimal_comma, pairs=pairs)
     results = match(features, wanted, rule_no, model, refit)
     for name, (predictions, best) in results.items():
         write_results(predictions, best, result_folder, name, kind)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
@@ -20,20 +20,35 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     """
     name = path.rstrip("/").lower()
     if name.endswith(".parquet"):
-        return spread(spark.read.parquet(path))
+        return spark.read.parquet(path)
     if name.endswith((".csv", ".csv.gz")):
-        return spread(spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path))
+        return spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path)
     raise ValueError(f"unknown kind of table: {path} (export it to .csv or .parquet)")
 
 
+def numbered(df: DataFrame, row_id: str) -> DataFrame:
+    """``df``, as read from files, with the row's place in the order of files, from 0.
+
+    Spark numbers rows inside a split of a file; the splits before it, in the order of file names and offsets, say where
+    it begins. So the ids depend on the files only, not on the number of cores or the size of the splits. The rows are
+    written with their numbers, as these must not change when a lost task runs again.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    rows = materialize(df.select("*", split.alias("_split"), F.monotonically_increasing_id().alias("_place")), row_id)
+    splits = rows.groupBy("_split").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.select("_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = rows.join(splits, "_split").withColumn(row_id, (F.col("_place") + F.col("_shift")).cast("long"))
+    return materialize(out.drop("_split", "_place", "_shift"), f"{row_id}_numbered")
+
+
 def _checked(df: DataFrame, required: list[str], row_id: str) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     if row_id in df.columns:
-        return df.withColumn(row_id, F.col(row_id).cast("long"))
-    # ids must not change when a lost task runs again, so they are written once
-    return materialize(df.withColumn(row_id, F.monotonically_increasing_id()), row_id)
+        return spread(df.withColumn(row_id, F.col(row_id).cast("long")))
+    return spread(numbered(df, row_id))
 
 
 def read_supplier(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -50,13 +65,18 @@ def read_master(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
 def read_latest_training(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the training file(s) written last under ``folder`` (SRC3).
 
-    Only file names and times are looked at to find the newest run; its directory is read then.
+    Only file names and times are looked at to find the newest run, Parquet or CSV; it alone is read then.
     """
-    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(folder)
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.{parquet,csv}").load(folder)
     newest = listed.select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).first()
     if newest is None:
         raise ValueError(f"no training data under {folder}")
-    return spark.read.parquet(newest["path"].rsplit("/", 1)[0])
+    run = newest["path"].rsplit("/", 1)[0]
+    if newest["path"].endswith(".parquet"):
+        return spark.read.parquet(run)
+    # a run written by Spark is a directory of part files; other files are a run each
+    path = run if newest["path"].rsplit("/", 1)[1].startswith("part-") else newest["path"]
+    return spark.read.options(header=True, escape='"', inferSchema=True).csv(path)
 
 
 def load_model(path: str) -> PipelineModel:

@@ -31,10 +31,10 @@ def write_results(predictions: DataFrame, best: DataFrame, folder: str, method:
     write_table(best, f"{folder}/{method}_automatch", kind)
 
 
-def write_training(training: DataFrame, folder: str, day: date | None = None) -> str:
+def write_training(training: DataFrame, folder: str, day: date | None = None, kind: str = "parquet") -> str:
     """Training data under the day's partition directory (SNK3)."""
     path = f"{folder}/run_date={(day or date.today()).isoformat()}"
-    training.write.mode("overwrite").parquet(path)
+    write_table(training, path, kind)
     return path
 
 

@@ -5,12 +5,15 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, difference
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from catalog import oracle, queries as catalog_queries
+
+QUERIES, SQL = catalog_queries.registered(), oracle.texts()
 TRAINED = {"ml_train_eval", "ml_importance", "ml_predict", "match_both"}
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")

@@ -116,3 +116,24 @@ def test_whole_job_from_files(spark, tmp_path):
         matching.run(spark, "", "", "", "fuzzy")
     with pytest.raises(ValueError):
         matching.match(saved, "both")
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    rows = [(f"title {i}", "1", "2", "3") for i in range(5000)]
+    frame = spark.createDataFrame(rows, "mas_title string, p_eans string, cp_eans string, cp_un_eans string")
+    frame.coalesce(1).write.option("header", True).csv(f"{tmp_path}/master.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8k", "50k", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.read_master(spark, f"{tmp_path}/master.csv").select("m_id", "mas_title").collect()
+            assert sorted((r.m_id, r.mas_title) for r in got) == [(i, f"title {i}") for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_training_csv_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5, 'a "b", c'), (2, None, "d")], "m_id int, price_diff double, title string")
+    writers.write_training(rows, str(tmp_path), kind="csv")
+    back = readers.read_latest_training(spark, str(tmp_path))
+    assert sorted(map(tuple, back.select("m_id", "price_diff", "title").collect())) == sorted(map(tuple, rows.collect()))
