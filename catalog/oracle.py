@@ -230,7 +230,7 @@ select rep, n_rows, gram, count(*) as tf from (select rep, n_rows, {GRAMS} as gr
         "block_tfidf_topk": f"""with {SIDES}, {TFIDF}
 select sup_id, m_id, round(score, 6) as cos_score, cast(rank as int) as rank from topk""",
         "block_tfidf_unique": f"""with {UNIQUE_SIDES}, {TFIDF}
-select sup_id, m_id, round(score, 6) as cos_score, cast(rank as int) as rank from topk""",
+select sup_id, m_id, cast(rank as int) as rank from topk""",
         "csv_master": f"with {SIDES}\nselect row_number() over (order by m_id) - 1 as m_id, mas_title, p_id from m",
         "block_hybrid": f"""with {SIDES}, {TFIDF}, {BLOCK_IDS}
 select sup_id, m_id from ids union select sup_id, m_id from topk""",
