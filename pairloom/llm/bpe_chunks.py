@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from pairloom.llm.common import free_name
@@ -33,8 +34,8 @@ WINDOW = 16
 #: A cut where this many bits of the hash are zero: chunks of about 512 bytes.
 CUT_BITS = 9
 LEAST_CHUNK = 64
-SLICE_BYTES = 4 << 20
-CACHED_WORDS = 250_000
+SLICE_BYTES = 2 << 20
+CACHED_WORDS = 150_000
 CACHED_CHUNK_BYTES = 8 << 20
 LONGEST_CACHED_WORD = 64
 
@@ -179,15 +180,14 @@ def coder(path: str) -> ChunkCoder:
 
 def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about ``size`` bytes of text each, at least one row, and their texts (null: empty)."""
-    texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    column = batch.column(column).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first = total = 0
-    for i, text in enumerate(texts):
-        if i > first and total + len(text) > size:
-            yield batch.slice(first, i - first), texts[first:i]
+    for i, n in enumerate([*sizes, size + 1]):
+        if i > first and (total + n > size or i == len(sizes)):
+            yield batch.slice(first, i - first), [x or b"" for x in column.slice(first, i - first).to_pylist()]
             first, total = i, 0
-        total += len(text)
-    if first < len(texts):
-        yield batch.slice(first), texts[first:]
+        total += n
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:

@@ -131,7 +131,7 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 2, 1 << 21):
+            for part, texts in slices(batch, 2, 1 << 20):
                 signature, size, a, b = signatures(texts, k, weighted)
                 keys = band_keys(signature, bands, rows).ravel()
                 keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
@@ -178,7 +178,7 @@ def _links_in_block(similarity: float):
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in slices(batch, 1):
+        for part, texts in slices(batch, 1, 1 << 20):
             text, shingle, _ = shingle_sets(texts, SHINGLE_WORDS)
             starts = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(starts, pa.array(shingle.view(np.int64)))], names=["key", "shingles"])

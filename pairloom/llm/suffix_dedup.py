@@ -213,7 +213,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 1, 1 << 21):
+            for part, texts in slices(batch, 1, 1 << 20):
                 r = runs_of(texts, length)
                 columns = [part.column(0).take(pa.array(r["text"])), *[pa.array(r[x].astype(np.int32)) for x in ("s0", "s1", "b")], pa.array(r["gram"]), pa.array(r["seg"])]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "s0", "s1", "b", "gram", "seg"])

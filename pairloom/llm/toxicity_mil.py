@@ -44,6 +44,8 @@ RATE = 0.1
 PREFIXES = (4, 5, 6)
 RIDGE = 1e-4
 TOXIC = 0.7
+#: Text that is split at once; its arrays take some fifty times as much.
+SLICE_BYTES = 1 << 20
 OFFENDING = 0.5
 
 _LETTER = np.zeros(256, bool)
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 0):
+            for part, texts in slices(batch, 0, SLICE_BYTES):
                 bag, words, sentences = bags(texts), [], []
                 cut = np.searchsorted(bag.document[bag.sentence], np.arange(len(texts) + 1))
                 for i in range(len(texts)):
@@ -209,7 +211,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, at):
+            for part, texts in slices(batch, at, SLICE_BYTES):
                 bag = bags(texts)
                 p, q = model.documents(bag, len(texts))
                 if model.constant is not None:
