@@ -20,16 +20,17 @@ def blanks_to_null(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumns({c: blank_to_null(F.col(c)) for c in text})
 
 
-def repair_types(df: DataFrame, decimal_comma: bool = False) -> DataFrame:
+def repair_types(df: DataFrame, decimal_comma: bool = False, keep_missing: bool = False) -> DataFrame:
     """The numeric columns that are present, as doubles (CAST1).
 
     A missing supplier-side number is 0, a missing master-side number is null: master text arrives
-    with missing values spelled ``nan``. Text is repaired, numbers are only cast.
+    with missing values spelled ``nan``. ``keep_missing`` leaves both null, as training data has them.
+    Text is repaired, numbers are only cast.
     """
     kinds = dict(df.dtypes)
 
     def repaired(name: str) -> Column:
-        missing = None if name in MASTER_NUMBERS else 0.0
+        missing = None if keep_missing or name in MASTER_NUMBERS else 0.0
         if kinds[name] == "string":
             return numeric.repaired_number(F.col(name), missing, decimal_comma)
         number = F.col(name).cast("double")
@@ -39,7 +40,7 @@ def repair_types(df: DataFrame, decimal_comma: bool = False) -> DataFrame:
 
 
 def add_supplier_features(supplier: DataFrame, tobacco: bool = False, compat: bool = False,
-                          decimal_comma: bool = False) -> DataFrame:
+                          decimal_comma: bool = False, keep_missing: bool = False) -> DataFrame:
     """What depends on a supplier row only: article numbers, mined title columns, brand, repaired numbers.
 
     Done before pairing, a row is mined and repaired once and not once for each of its candidates.
@@ -47,14 +48,15 @@ def add_supplier_features(supplier: DataFrame, tobacco: bool = False, compat: bo
     """
     supplier = supplier.withColumn("eans", ean.ean_list(F.col("eans"), compat))
     mined = add_title_features(supplier, "title", tobacco)
-    return repair_types(blanks_to_null(mined, TITLES), decimal_comma)
+    return repair_types(blanks_to_null(mined, TITLES), decimal_comma, keep_missing)
 
 
-def add_master_features(master: DataFrame, compat: bool = False, decimal_comma: bool = False) -> DataFrame:
+def add_master_features(master: DataFrame, compat: bool = False, decimal_comma: bool = False,
+                        keep_missing: bool = False) -> DataFrame:
     """What depends on a master row only: its article numbers merged, its numbers repaired."""
     merged = ean.merged_eans(*[F.col(c) for c in fv.MASTER_EAN_COLUMNS], compat=compat)
     slim = master.withColumn("merge_eans", merged).drop(*fv.MASTER_EAN_COLUMNS)
-    return repair_types(blanks_to_null(slim, TITLES), decimal_comma)
+    return repair_types(blanks_to_null(slim, TITLES), decimal_comma, keep_missing)
 
 
 def add_pair_features(pairs: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ def training_set(master: DataFrame, iterations: int = fv.SHUFFLE_ITERATIONS, see
     """Synthetic pairs with scores, features and ``match`` (SYN2).
 
     What depends on one side only is derived on the master rows, and the supplier side's part moves
-    with it through the shuffles, so a title is mined once and not once per iteration.
+    with it through the shuffles, so a title is mined once and not once per iteration. Rows without a
+    title stay, without scores, and missing numbers stay missing.
     """
-    whole = master.dropna(subset=["title", "mas_title"])
-    raw = whole.withColumn("raw", F.struct(*fv.MASTER_SUPPLIER_COLUMNS)).withColumn("title", strip(F.col("title")))
-    mined = add_supplier_features(add_master_features(raw, compat), tobacco, compat)
-    derived = [c for c in mined.columns if c not in whole.columns and c not in ("raw", "merge_eans")]
+    raw = master.withColumn("raw", F.struct(*fv.MASTER_SUPPLIER_COLUMNS)).withColumn("title", strip(F.col("title")))
+    mined = add_supplier_features(add_master_features(raw, compat, keep_missing=True), tobacco, compat, keep_missing=True)
+    derived = [c for c in mined.columns if c not in master.columns and c not in ("raw", "merge_eans")]
     derived += ["default_price_cents", "eans"]
     rows = mined.withColumn("derived", F.struct(*derived)).drop(*derived, *fv.MASTER_SUPPLIER_COLUMNS)
     # read three times below; and filters must not be moved into the cascade, where they would multiply

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import evaluate, models, standardise, synthetic
-from pairloom.plans import match as matching
+from pairloom.plans import match as matching, training as training_plan
 from pairloom.sources import readers, writers
 
 
@@ -137,3 +137,17 @@ def test_training_csv_round_trip(spark, tmp_path):
     writers.write_training(rows, str(tmp_path), kind="csv")
     back = readers.read_latest_training(spark, str(tmp_path))
     assert sorted(map(tuple, back.select("m_id", "price_diff", "title").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_training_keeps_rows_without_titles_and_missing_numbers(spark):
+    master = spark.createDataFrame(
+        [(1, "red ale 6x0,33 l", None, "4001", "beer", "red ale", 199.0, 0.33, "beer", "4001", None, None),
+         (2, None, 250.0, "4002", "beer", "brown ale", 250.0, None, "beer", "4002", None, None),
+         (3, "stout 12er", 99.0, None, "beer", None, 99.0, 0.5, "beer", "4003", None, None)],
+        "m_id long, title string, default_price_cents double, eans string, sup_cat_id string, mas_title string, mas_dpc double, "
+        "mas_size double, mas_cat_id string, p_eans string, cp_eans string, cp_un_eans string")
+    made = training_plan.training_set(master, iterations=2, names=["jwrink", "lev"]).where("iteration = 0").collect()
+    by = {r.m_id: r for r in made}
+    assert set(by) == {1, 2, 3}
+    assert by[1].price_diff is None and by[1].wg_sim_score is not None
+    assert by[2].wg_sim_score is None and by[3].wg_sim_score is None
