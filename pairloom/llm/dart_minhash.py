@@ -185,15 +185,14 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingle sets of the documents in ``wanted`` (``key``); only their texts are read into sets."""
-    texts = docs.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    """The shingle sets of the documents in ``wanted`` (``key``), in one pass; a merge join at every size."""
+    texts = docs.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     return materialize(texts.mapInArrow(_shingles, "key binary, shingles array<bigint>"), "near_sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are similar enough; their texts are read again, others not."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are similar enough."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
-    sets = _sets(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -214,7 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_ = single.select("key", "size", F.explode("bands").alias("band"))
     buckets = materialize(rows_.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1"), "near_buckets")
     placed = materialize(rows_.join(buckets, "band").select("band", "key", "size", "lead", "n"), "near_placed")
-    linked = materialize(_verified(placed.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")), keyed, similarity), "near_links")
+    sets = _sets(keyed, placed)  # only documents that share a bucket are read again
+    linked = materialize(_verified(placed.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")), sets, similarity), "near_links")
     comp = components(linked)
     # buckets that hold several components: all pairs across them, in blocks
     known = placed.where("n > 2").join(comp, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed_ = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"), (F.col("own") > j).cast("int").alias("side")))
     placed_ = placed_.select("band", "key", "component", F.explode(met).alias("m")).select("band", "key", "component", "m.*")
-    placed_ = placed_.join(_sets(keyed, rest), "key")
+    placed_ = placed_.join(sets, "key")
     more = placed_.groupBy("band", "i", "j").applyInArrow(_links_in_block(similarity), "a binary, b binary")
     comp = components(linked.unionByName(more))
     classed = members.join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node"))
