@@ -88,8 +88,9 @@ def located(text: Column, pattern: str, needs: str) -> Column:
     """
     found = F.when(F.regexp_like(text, F.lit(needs)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     pieces = F.when(F.regexp_like(text, F.lit(needs)), F.split(text, pattern, -1))
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-    pairs = F.transform(pairs, lambda x, i: F.struct(x["match"].alias("match"), F.length(x["piece"]).alias("skip"), F.substring(x["piece"], -24, 24).alias("before"), F.substring(F.get(pieces, i + 1), 1, 2).alias("after")))
+    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("match"), F.length(p).alias("skip"), F.substring(p, -24, 24).alias("before")))
+    after = F.transform(F.slice(pieces, 2, F.size(found)), lambda p: F.substring(p, 1, 2))  # made once: not per match
+    pairs = F.zip_with(pairs, after, lambda x, p: F.struct(x["match"].alias("match"), x["skip"].alias("skip"), x["before"].alias("before"), p.alias("after")))
     kind = "array<struct<match: string, start: int, end: int, before: string, after: string>>"
     none = F.expr(f"CAST(array() AS {kind})")
 

@@ -71,7 +71,7 @@ def brute_base(text):
 
 TRICKY = [
     "a@b.c_d@e.f g@h", "x.y+z@mail.example.com, @foo a@b é😀 q@r.s-.t", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.0.0.1 1.2.3", "4111 1111 1111 1111-4111111111111111", "+1 (269) 555-3296 4111111111111111",
-    "+49 30 1234567 +1", "12-34 5", "+" * 50, "1" * 30_000, ("1 " * 9_000), "a" * 5_000 + "@", "1." * 9000, ("ab." * 9000) + "@c.d", "+1" + "(" * 20_000 + "2", "card 5500 0000 0000 0004.", None, "",
+    "+49 30 1234567 +1", "12-34 5", "+" * 50, "1" * 4_000, ("1 " * 9_000), "a" * 5_000 + "@", "1." * 2000, ("ab." * 9000) + "@c.d", "+1" + "(" * 20_000 + "2", "card 5500 0000 0000 0004.", None, "",
 ]
 
 
