@@ -81,8 +81,8 @@ def _phone_digits(x: Column) -> Column:
 PASSES = {"email": lambda x: F.lit(True), "ip": _octets, "card": _luhn, "phone": _phone_digits}
 
 
-def located(text: Column, pattern: str, needs: str) -> Column:
-    """Array of the pattern's matches: ``match, start, end, before, after``; the latter are neighbouring characters.
+def located(text: Column, pattern: str, needs: str, passes=None) -> Column:
+    """Array of the pattern's matches that pass: ``match, start, end, before, after``; the latter are neighbouring characters.
 
     The pieces between matches give the places: there is one piece more than there are matches.
     """
@@ -98,7 +98,9 @@ def located(text: Column, pattern: str, needs: str) -> Column:
         start = state["at"] + x["skip"]
         end = start + F.length(x["match"])
         hit = F.struct(x["match"].alias("match"), start.alias("start"), end.alias("end"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+        more = F.concat(state["hits"], F.array(hit))
+        # what fails isn't gathered: a text of numbers has very many matches and few cards
+        return F.struct(end.alias("at"), (F.when(passes(x["match"]), more).otherwise(state["hits"]) if passes else more).alias("hits"))
 
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("hits")), step, lambda s: s["hits"])
     return F.coalesce(placed, none)
@@ -107,7 +109,7 @@ def located(text: Column, pattern: str, needs: str) -> Column:
 def base_spans(text: Column) -> Column:
     """Array of ``(start, kind, end)``, sorted; kind is the place in ``KINDS``."""
     def of(i: int, kind: str) -> Column:
-        hits = F.filter(located(text, BASE[kind], NEEDS[kind]), lambda x: PASSES[kind](x["match"]))
+        hits = located(text, BASE[kind], NEEDS[kind], PASSES[kind])
         return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
 
     return F.array_sort(F.concat(*[of(i, kind) for i, kind in enumerate(KINDS)]))
