@@ -38,8 +38,8 @@ TOP = 512
 SWEEPS = 10
 MIX = 0.9
 BASE = 0.1
-BLOCK_BYTES = 6 << 20
-BLOCKS_A_BATCH = 2
+BLOCK_BYTES = 2 << 20
+BLOCKS_A_BATCH = 1
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The class of the end mark, and that of words outside TOP before their exchange.
 END, OTHER = CLASSES, CLASSES + 1
@@ -336,7 +336,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     blocks = materialize(_blocks(rows), "lm_blocks")
-    # a row is a block of some MB from here on: a batch of the usual ten thousand would hold a task's whole input
+    # a row is a block of some MB from here on: an Arrow batch of the usual ten thousand would hold a task's whole input
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, BLOCKS_A_BATCH)
     try:
