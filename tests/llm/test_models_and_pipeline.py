@@ -45,7 +45,7 @@ def test_language_model(spark, sf_dir):
     check_lm(odd_documents(spark).where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0))
     assert brown_lm.score(empty_documents(spark)).count() == 0
     out = [r for r in check_lm(documents(spark, MEDIUM)) if r.held_out]
-    assert sum(r.score for r in out) > 0.96 * sum(r.base_score for r in out)  # fewer digits a token on texts not seen
+    assert sum(r.score for r in out) > 0.98 * sum(r.base_score for r in out)  # fewer digits a token on texts not seen; a small table gains less
 
 
 def test_model_probabilities_sum_to_one():
