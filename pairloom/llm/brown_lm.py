@@ -155,7 +155,8 @@ def gains(rows: np.ndarray, columns: np.ndarray, table: np.ndarray, selves: np.n
         both = table[c, c] + rows[:, c] + columns[:, c] + selves
         new = _xlogx(row).sum(1) - _xlogx(row[:, c]) + _xlogx(column).sum(1) - _xlogx(column[:, c]) + _xlogx(both)
         old = _xlogx(table[c]).sum() + _xlogx(table[:, c]).sum() - _xlogx(table[c, c])
-        ends = _xlogx(left[c] + n_out) - _xlogx(left[c]) + _xlogx(right[c] + n_in) - _xlogx(right[c])
+        out_c, in_c = left[c] + columns[:, c], right[c] + rows[:, c]  # with what the class has to and from the word
+        ends = _xlogx(out_c + n_out) - _xlogx(out_c) + _xlogx(in_c + n_in) - _xlogx(in_c)
         out[:, c] = new - old - ends
     return out
 
