@@ -35,8 +35,8 @@ WINDOW = 16
 CUT_BITS = 9
 LEAST_CHUNK = 64
 SLICE_BYTES = 2 << 20
-CACHED_WORDS = 150_000
-CACHED_CHUNK_BYTES = 8 << 20
+CACHED_WORDS = 100_000
+CACHED_CHUNK_BYTES = 2 << 20
 LONGEST_CACHED_WORD = 64
 
 
@@ -188,6 +188,7 @@ def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Itera
             yield batch.slice(first, i - first), [x or b"" for x in column.slice(first, i - first).to_pylist()]
             first, total = i, 0
         total += n
+    pa.default_memory_pool().release_unused()  # workers outlive their stage
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
