@@ -48,6 +48,17 @@ def test_language_model(spark, sf_dir):
     assert sum(r.score for r in out) > 0.98 * sum(r.base_score for r in out)  # fewer digits a token on texts not seen; a small table gains less
 
 
+def test_frequent_words_do_not_depend_on_blocks(spark):
+    # "wide" is never among a block's most frequent words, but is so over all of them
+    texts = [" ".join([*[f"own{i}x{j}" for j in range(20)] * 2, "wide"]) for i in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1) if not held(i)], "id long, text string")
+    n = docs.count()
+    assert n > 3
+    for parts in (1, n):
+        blocks = brown_lm._blocks(docs.repartitionByRange(parts, "id"))
+        assert brown_lm.frequent_words(blocks, 1) == ["wide"]
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     words = 30
