@@ -1,17 +1,19 @@
 """Class-based bigram language model with Brown classes found by exchange clustering.
 
 Model: P(w | v) = L * P(class(w) | class(v)) * P(w | class(w)) + (1 - L) * P0(w), with P0 the smoothed unigram base. A text's
-tokens follow the mark that ends texts and end with it. Words not seen in training have P0 only.
+tokens follow the mark that ends texts and end with it. Words not seen in training have P0 only, and so has what follows them.
 
 Exchange clustering: the ``TOP`` most frequent tokens begin dealt over ``CLASSES`` classes in order of frequency. Sweeps take one
 word after the other out of its class and put it where the likelihood of the class bigrams is greatest, until a sweep
-moves none (or ``SWEEPS`` are done). This needs the bigram counts among these tokens only: a table bounded by TOP * TOP. All
-other words are then exchanged once, in parallel, each against the classes of its neighbours over the whole corpus.
+moves none (or ``SWEEPS`` are done). This needs the bigram counts among these tokens and the classes of all others only: a
+table bounded by TOP + CLASSES. All other words are first placed by their neighbours among the frequent words (dealt over the classes where
+there are none) and then exchanged in rounds, all of them in parallel, by all their neighbours in the corpus; after each round the frequent words are
+exchanged against the new classes. The rounds end when one doesn't raise the likelihood (it is undone), or after ``ROUNDS``.
 
-Scale: no row a token ever leaves a task. A task turns texts into blocks: a block has its own word list and its texts as numbers into it. What is
-shuffled is one entry a block and distinct word: to the word's bucket with its count and its neighbours' classes, and back with the
-word's total and class. Entries travel packed, an array a block and bucket. Per-word totals are exact sums over all
-training texts. Blocks and buckets are bounded by settings, not by the corpus; the table of class bigrams has CLASSES**2 entries.
+Scale: no row a token ever leaves a task. A task turns texts into blocks: a block has its own word list and its texts as numbers into it.
+Shuffled are one entry a block and distinct word: once to the word's bucket with its count and back with its total and place there; in each round
+to the bucket with its neighbours' classes and back with its own. Entries travel packed, an array a block and bucket. Per-word totals are exact sums over all
+training texts. Blocks are bounded by settings, not by the corpus; the table of class bigrams has WIDTH**2 entries.
 
 Training texts: those whose id's crc32 leaves a remainder by 10. Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.
 
@@ -36,12 +38,14 @@ from pairloom.session import materialize
 CLASSES = 64
 TOP = 512
 SWEEPS = 10
+#: Exchanges of all other words at most, the first of them their placing.
+ROUNDS = 4
 MIX = 0.9
 BASE = 0.1
 BLOCK_BYTES = 2 << 20
 BLOCKS_A_BATCH = 1
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: The class of the end mark, and that of words outside TOP before their exchange.
+#: The class of the end mark, and that of words outside TOP before their placing.
 END, OTHER = CLASSES, CLASSES + 1
 WIDTH = CLASSES + 2
 
@@ -111,30 +115,6 @@ def frequent_words(blocks: DataFrame, top: int) -> list[str]:
     return [r.word for r in rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top).collect()]
 
 
-def top_bigrams(blocks: DataFrame, top: list[str]) -> np.ndarray:
-    """Counts of training bigrams among the end mark (0), the frequent words (1 ...) and all others (last)."""
-    n = len(top) + 2
-    names = pa.array(top, pa.string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int64)
-        for batch in batches:
-            for i in range(len(batch)):
-                held, lengths, tokens = (_numbers(batch.column(j), i, k) for j, k in ((0, "?"), (1, "<i4"), (2, "<i4")))
-                place = pc.fill_null(pc.index_in(batch.column(3)[i].values, value_set=names), n - 2).to_numpy() + 1
-                place = np.concatenate(([0], place))
-                a, b = _train_pairs(tokens, lengths, held)
-                total += np.bincount(place[a] * n + place[b], minlength=n * n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    rows = blocks.select("held", "lengths", "tokens", "words").mapInArrow(run, "at bigint, n bigint")
-    out = np.zeros(n * n, np.int64)
-    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out.reshape(n, n)
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -160,16 +140,17 @@ def gains(rows: np.ndarray, columns: np.ndarray, table: np.ndarray, selves: np.n
     return out
 
 
-def exchange(bigrams: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Classes of the end mark, the frequent words and the rest (of which only the words move)."""
+def exchange(bigrams: np.ndarray, sweeps: int = SWEEPS, classes: np.ndarray | None = None, words: int | None = None) -> np.ndarray:
+    """Classes of the end mark, ``words`` words that move, and whatever follows them and doesn't (without ``classes``: the rest)."""
     n = len(bigrams)
+    words = n - 2 if words is None else words
     counts = bigrams.astype(float)
-    classes = np.concatenate(([END], np.arange(n - 2) % CLASSES, [OTHER]))
+    classes = np.concatenate(([END], np.arange(words) % CLASSES, [OTHER])) if classes is None else classes.copy()
     hot = np.eye(WIDTH)[classes]
     table = hot.T @ counts @ hot
     for _ in range(sweeps):
         moved = 0
-        for w in range(1, n - 1):
+        for w in range(1, words + 1):
             self_ = counts[w, w]
             row, column = (np.bincount(classes, x, WIDTH) for x in (counts[w], counts[:, w]))
             row[classes[w]] -= self_
@@ -188,87 +169,221 @@ def exchange(bigrams: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
     return classes
 
 
-def _to_buckets(top: list[str], classes: np.ndarray, buckets: int):
-    names = pa.array(top, pa.string())
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training texts' log likelihood that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def _to_words(buckets: int):
+    """A block's words with their counts, an entry a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                words = batch.column(4)[i].values
-                held, lengths, tokens, counts = (_numbers(batch.column(j), i, k) for j, k in ((1, "?"), (2, "<i4"), (3, "<i4"), (5, "<i4")))
-                place = pc.index_in(words, value_set=names)
-                known = np.concatenate(([END], np.where(np.asarray(place.is_valid()), classes[pc.fill_null(place, 0).to_numpy() + 1], OTHER)))
-                a, b = _train_pairs(tokens, lengths, held)
-                # entries: word, side and class of the neighbour, count
-                keys = np.concatenate((b.astype(np.int64) * 2 * WIDTH + known[a], a.astype(np.int64) * 2 * WIDTH + WIDTH + known[b]))
-                keys, n = np.unique(keys, return_counts=True)
-                entry_word, entry_class = keys // (2 * WIDTH), (keys % (2 * WIDTH)).astype(np.uint8)
-                text = words.to_numpy(zero_copy_only=False)
-                bucket = np.concatenate(([0], (pd.util.hash_array(text, categorize=False) % np.uint64(buckets)).astype(np.int64)))
-                order = np.argsort(bucket[1:], kind="stable") + 1
+                text, counts = batch.column(1)[i].values.to_numpy(zero_copy_only=False), _numbers(batch.column(2), i, "<i4")
+                bucket = (pd.util.hash_array(text, categorize=False) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                entry_bucket = np.where(entry_word > 0, bucket[np.minimum(entry_word, len(bucket) - 1)], -1)
-                entry_order = np.argsort(entry_bucket, kind="stable")
-                entry_cuts = np.searchsorted(entry_bucket[entry_order], np.arange(buckets + 1))
-                within = np.zeros(len(bucket), np.int32)
-                rows = {x: [] for x in ("block", "bucket", "words", "numbers", "counts", "entry_word", "entry_class", "entry_n")}
+                rows = {x: [] for x in _WORDS.names}
                 for j in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[j] : cuts[j + 1]]
-                    within[own] = np.arange(len(own))
-                    e = entry_order[entry_cuts[j] : entry_cuts[j + 1]]
                     rows["block"].append(batch.column(0)[i].as_py())
                     rows["bucket"].append(int(j))
-                    rows["words"].append("\n".join(text[own - 1]))  # no word holds a line end
-                    for name, x in (("numbers", own.astype("<i4")), ("counts", counts[own].astype("<i4")), ("entry_word", within[entry_word[e]]), ("entry_class", entry_class[e]), ("entry_n", n[e].astype("<i4"))):
+                    rows["words"].append("\n".join(text[own]))  # no word holds a line end
+                    rows["numbers"].append((own + 1).astype("<i4").tobytes())
+                    rows["counts"].append(counts[own + 1].astype("<i4").tobytes())
+                yield pa.RecordBatch.from_pydict(rows, schema=_WORDS)
+
+    return run
+
+
+def _fields(**kinds: pa.DataType) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
+
+
+_WORDS = _fields(block=pa.int64(), bucket=pa.int32(), words=pa.string(), numbers=pa.binary(), counts=pa.binary())
+_TOTALS = _fields(block=pa.int64(), bucket=pa.int32(), numbers=pa.binary(), at=pa.binary(), totals=pa.binary(), distinct=pa.int64())
+_PACKED = _fields(block=pa.int64(), bucket=pa.int32(), numbers=pa.binary(), at=pa.binary(), classes=pa.binary(), entry_word=pa.binary(), entry_code=pa.binary(), entry_n=pa.binary())
+_PLACED = _fields(block=pa.int64(), numbers=pa.binary(), classes=pa.binary())
+
+
+def _sum_words(batch: pa.Table) -> pa.Table:
+    """Places in the bucket and totals of one bucket's words, sent back to their blocks."""
+    batch = batch.combine_chunks().sort_by("block")
+    lists = [x.split("\n") for x in batch["words"].to_pylist()]
+    at, names = pd.factorize(np.array([w for x in lists for w in x], object))
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    counts = np.concatenate([np.frombuffer(x, "<i4") for x in batch["counts"].to_pylist()])
+    totals = np.bincount(at, counts, len(names)).astype("<i8")
+    packed = [[x.tobytes() for x in np.split(y, cuts)] for y in (at.astype("<i4"), totals[at])]
+    distinct = [int((totals > 0).sum())] + [0] * (len(lists) - 1)
+    return pa.table([batch["block"], batch["bucket"], batch["numbers"], *packed, distinct], schema=_TOTALS)
+
+
+def _places(names: list[str]):
+    """Words out, their places among the frequent words in (from 1; 0: not among them)."""
+    known = pa.array(names, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                place = pc.fill_null(pc.index_in(batch.column(5)[i].values, value_set=known), -1).to_numpy() + 1
+                place = np.concatenate(([0], place)).astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(5)), pa.array([place], pa.binary())], names=[*batch.schema.names[:5], "place"])
+
+    return run
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block with its words' buckets, places in them and totals, in the order of their numbers."""
+    for batch in batches:
+        for i in range(len(batch)):
+            size = len(batch.column(5)[i].as_buffer()) // 4
+            bucket, at, totals = np.zeros(size, "<i4"), np.zeros(size, "<i4"), np.zeros(size, "<i8")
+            for x in batch.column(6)[i].as_py() or []:
+                own = np.frombuffer(x["numbers"], "<i4")
+                bucket[own], at[own], totals[own] = x["bucket"], np.frombuffer(x["at"], "<i4"), np.frombuffer(x["totals"], "<i8")
+            added = [pa.array([x.tobytes()], pa.binary()) for x in (bucket, at, totals)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(6)), *added], names=[*batch.schema.names[:6], "bucket", "at", "totals"])
+
+
+def _local(known: list | None, size: int) -> np.ndarray:
+    """Classes of a block's words, by number, but for the frequent ones."""
+    classes = np.full(size, OTHER, np.uint8)
+    for x in known or []:
+        classes[np.frombuffer(x["numbers"], "<i4")] = np.frombuffer(x["classes"], np.uint8)
+    return classes
+
+
+def _evidence(top: int, buckets: int, entries: bool):
+    """What stands beside each word that isn't frequent, packed by block and bucket, and a task's bigrams (bucket -1).
+
+    Neighbours are given by code: 0 the end mark, then the frequent words, then the classes of the others. A word beside itself has a code of its own.
+    """
+    n = 1 + top + CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for i in range(len(batch)):
+                held, lengths, tokens, place, bucket, at = (_numbers(batch.column(j), i, k) for j, k in ((1, "?"), (2, "<i4"), (3, "<i4"), (4, "<i4"), (5, "<i4"), (6, "<i4")))
+                classes = _local(batch.column(8)[i].as_py(), len(place))
+                code = np.where(place > 0, place, 1 + top + np.minimum(classes.astype(np.int64), CLASSES))
+                code[0] = 0
+                a, b = _train_pairs(tokens, lengths, held)
+                sums += np.bincount(code[a] * n + code[b], minlength=n * n)
+                if not entries:
+                    continue
+                free = (place == 0) & (_numbers(batch.column(7), i, "<i8") > 0)
+                free[0] = False
+                keys = [x[free[w]] for w, x in ((b, b.astype(np.int64) * (2 * n + 1) + np.where(a == b, 2 * n, code[a])), (a, a.astype(np.int64) * (2 * n + 1) + n + code[b]))]
+                keys[1] = keys[1][(a != b)[free[a]]]
+                keys, count = np.unique(np.concatenate(keys), return_counts=True)
+                word, beside = keys // (2 * n + 1), keys % (2 * n + 1)
+                own = np.flatnonzero(free)
+                own = own[np.argsort(bucket[own], kind="stable")]
+                cuts = np.searchsorted(bucket[own], np.arange(buckets + 1))
+                order = np.argsort(bucket[word], kind="stable")
+                word, beside, count = word[order], beside[order], count[order]
+                entry_cuts = np.searchsorted(bucket[word], np.arange(buckets + 1))
+                within = np.zeros(len(place), "<i4")
+                rows = {x: [] for x in _PACKED.names}
+                for j in np.flatnonzero(np.diff(cuts)):
+                    some, e = own[cuts[j] : cuts[j + 1]], slice(entry_cuts[j], entry_cuts[j + 1])
+                    within[some] = np.arange(len(some))
+                    rows["block"].append(batch.column(0)[i].as_py())
+                    rows["bucket"].append(int(j))
+                    for name, x in (("numbers", some.astype("<i4")), ("at", at[some]), ("classes", classes[some]), ("entry_word", within[word[e]]), ("entry_code", beside[e].astype("<u2")), ("entry_n", count[e].astype("<i4"))):
                         rows[name].append(x.tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=_PACKED)
+        at = np.flatnonzero(sums)
+        empty = dict.fromkeys(_PACKED.names, [b""]) | {"block": [-1], "bucket": [-1]}
+        yield pa.RecordBatch.from_pydict(empty | {"at": [at.astype("<i8").tobytes()], "entry_n": [sums[at].astype("<i8").tobytes()]}, schema=_PACKED)
 
     return run
 
 
-_PACKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.string()), *[(x, pa.binary()) for x in ("numbers", "counts", "entry_word", "entry_class", "entry_n")]])
-_PLACED = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("totals", pa.binary()), ("classes", pa.binary()), ("distinct", pa.int64())])
+def _bigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch.column(j), i, "<i8")) for j in (0, 1)], names=["at", "n"])
 
 
-def _classify(top: list[str], classes: np.ndarray, table: np.ndarray):
-    """Totals and classes of one bucket's words, sent back to their blocks."""
-    fixed = dict(zip(top, classes[1:].tolist(), strict=False))
+def _bigrams(packed: DataFrame, n: int) -> np.ndarray:
+    rows = packed.where("bucket = -1").select("at", "entry_n").mapInArrow(_bigram_rows, "at bigint, n bigint")
+    out = np.zeros(n * n, np.int64)
+    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(n, n)
+
+
+def move_gains(rows: np.ndarray, columns: np.ndarray, selves: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``gains`` of many words at once, each taken out of its ``own`` class first; ``table`` counts them all in."""
+    k = CLASSES
+    out = np.zeros((len(rows), k))
+    mine = np.flatnonzero(own < k)
+    for beside, across, t in ((rows, columns, table), (columns, rows, table.T)):
+        w, d = np.nonzero(beside)
+        if not len(w):
+            continue
+        n = beside[w, d]
+        base = np.ascontiguousarray(t.T[:, :k])[d]
+        within = d == own[w]
+        base[within] -= across[w[within], :k]
+        e = np.flatnonzero(own[w] < k)
+        base[e, own[w[e]]] = t[own[w[e]], d[e]] - n[e]
+        e = np.flatnonzero(d < k)
+        base[e, d[e]] = 1  # the class's bigrams with itself come below
+        gain = _xlogx(base + n[:, None]) - _xlogx(base)
+        gain[e, d[e]] = 0
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        out[w[first]] += np.add.reduceat(gain, first)
+    both = rows[:, :k] + columns[:, :k] + selves[:, None]
+    base = np.repeat(np.diag(table)[None, :k], len(rows), 0)
+    base[mine, own[mine]] -= both[mine, own[mine]]
+    out += _xlogx(base + both) - _xlogx(base)
+    for ends, n in ((table.sum(1), rows.sum(1) + selves), (table.sum(0), columns.sum(1) + selves)):
+        base = np.repeat(ends[None, :k], len(rows), 0)
+        base[mine, own[mine]] -= n[mine]
+        out -= _xlogx(base + n[:, None]) - _xlogx(base)
+    return out
+
+
+def _place(table: np.ndarray, class_of: np.ndarray, first: bool):
+    """Classes of one bucket's words by what stands beside them, sent back to their blocks."""
+    codes = len(class_of)
+    step = 512  # words whose neighbours are laid out at once
 
     def run(batch: pa.Table) -> pa.Table:
-        batch = batch.combine_chunks().sort_by("block")
-        rows = batch.to_pydict()
-        lists = [x.split("\n") for x in rows["words"]]
-        number, names = pd.factorize(np.array([w for x in lists for w in x], object))
-        begin = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-        m = len(names)
-        counts = np.concatenate([np.frombuffer(x, "<i4") for x in rows["counts"]])
-        totals = np.bincount(number, counts, m).astype(np.int64)
-        word = np.concatenate([number[begin[i] + np.frombuffer(x, "<i4")] for i, x in enumerate(rows["entry_word"])])
-        cls = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["entry_class"]])
-        n = np.concatenate([np.frombuffer(x, "<i4") for x in rows["entry_n"]])
-        chosen = np.zeros(m, np.uint8)
+        batch = batch.combine_chunks()
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in batch[name].to_pylist()]
+        places = read("at", "<i4")
+        word = np.concatenate([x[y] for x, y in zip(places, read("entry_word", "<i4"), strict=True)])
+        code, n = np.concatenate(read("entry_code", "<u2")).astype(np.int64), np.concatenate(read("entry_n", "<i4"))
+        cuts = np.cumsum([len(x) for x in places])[:-1]
+        at = np.concatenate(places)
+        m = int(at.max(initial=-1)) + 1
+        own = np.full(m, OTHER, np.int64)
+        own[at] = np.concatenate(read("classes", np.uint8))
+        beside = np.where(code == 2 * codes, 2 * WIDTH, code // codes * WIDTH + class_of[code % codes])
         order = np.argsort(word, kind="stable")
-        word, cls, n = word[order], cls[order], n[order]
-        step = 4096  # words whose neighbours are laid out at once
+        word, beside, n = word[order], beside[order], n[order]
+        chosen = np.zeros(m, np.uint8)
         for low in range(0, m, step):
             i, j = np.searchsorted(word, [low, low + step])
             size = min(step, m - low)
-            dense = np.bincount((word[i:j] - low) * 2 * WIDTH + cls[i:j], n[i:j], size * 2 * WIDTH).reshape(size, 2, WIDTH)
-            known = dense.copy()
-            known[:, :, OTHER] = 0  # neighbours without a class say nothing
-            chosen[low : low + size] = _best(known[:, 1], known[:, 0], table)
-        for i, name in enumerate(names):
-            if name in fixed:
-                chosen[i] = fixed[name]
-        found = {x: [] for x in _PLACED.names}
-        for i in range(len(lists)):
-            own = number[begin[i] : begin[i + 1]]
-            found["block"].append(rows["block"][i])
-            found["numbers"].append(rows["numbers"][i])
-            found["totals"].append(totals[own].astype("<i8").tobytes())
-            found["classes"].append(chosen[own].tobytes())
-            found["distinct"].append(int((totals > 0).sum()) if i == 0 else 0)
-        return pa.Table.from_pydict(found, schema=_PLACED)
+            dense = np.bincount((word[i:j] - low) * (2 * WIDTH + 1) + beside[i:j], n[i:j], size * (2 * WIDTH + 1)).reshape(size, -1)
+            columns, rows, selves = dense[:, :WIDTH], dense[:, WIDTH : 2 * WIDTH], dense[:, -1]
+            if first:
+                columns[:, OTHER] = rows[:, OTHER] = 0  # not placed yet, any of them
+                found = np.where((columns.any(1) | rows.any(1)), _best(rows, columns, table), np.arange(low, low + size) % CLASSES)
+            else:
+                gain = move_gains(rows, columns, selves, own[low : low + size], table)
+                found = np.argmax(gain, axis=1)
+                stay = np.minimum(own[low : low + size], CLASSES - 1)
+                found = np.where(gain[np.arange(size), stay] >= gain.max(1) - 1e-9, stay, found)
+            chosen[low : low + size] = found
+        return pa.table([batch["block"], batch["numbers"], [x.tobytes() for x in np.split(chosen[at], cuts)]], schema=_PLACED)
 
     return run
 
@@ -281,47 +396,25 @@ def _best(rows: np.ndarray, columns: np.ndarray, table: np.ndarray) -> np.ndarra
     return np.argmax(rows @ bond[:CLASSES].T + columns @ bond[:, :CLASSES], axis=1).astype(np.uint8)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block with its words' totals and classes, and its training class bigrams."""
-    for batch in batches:
-        for i in range(len(batch)):
-            held, lengths, tokens = (_numbers(batch.column(j), i, k) for j, k in ((1, "?"), (2, "<i4"), (3, "<i4")))
-            size = batch.column(4)[i].as_py() + 1
-            totals, classes = np.zeros(size, "<i8"), np.full(size, END, np.uint8)
-            for x in batch.column(5)[i].as_py() or []:
-                at = np.frombuffer(x["numbers"], "<i4")
-                totals[at], classes[at] = np.frombuffer(x["totals"], "<i8"), np.frombuffer(x["classes"], np.uint8)
-            a, b = _train_pairs(tokens, lengths, held)
-            table = np.bincount(classes[a].astype(np.int64) * WIDTH + classes[b], minlength=WIDTH * WIDTH)
-            row = [batch.column(0).slice(i, 1), *[batch.column(j).slice(i, 1) for j in (1, 2, 3)], *[pa.array([x.tobytes()], pa.binary()) for x in (totals, classes, table.astype("<i8"))]]
-            yield pa.RecordBatch.from_arrays(row, names=["ids", "held", "lengths", "tokens", "totals", "classes", "pairs"])
-
-
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(WIDTH * WIDTH, np.int64)
-    for batch in batches:
-        for i in range(len(batch)):
-            total += _numbers(batch.column(0), i, "<i8")
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-
-def _scorer(table: np.ndarray, n: int, v: int, ends: int):
+def _scorer(table: np.ndarray, frequent: np.ndarray, n: int, v: int, ends: int):
     moves = table / np.maximum(table.sum(1, keepdims=True), 1)
     held_by = np.maximum(table.sum(0), 1)  # tokens of each class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                held, lengths, tokens = (_numbers(batch.column(j), i, k) for j, k in ((1, "?"), (2, "<i4"), (3, "<i4")))
-                totals, classes = _numbers(batch.column(4), i, "<i8").copy(), _numbers(batch.column(5), i, "u1")
+                held, lengths, tokens, place = (_numbers(batch.column(j), i, k) for j, k in ((1, "?"), (2, "<i4"), (3, "<i4"), (4, "<i4")))
+                totals = _numbers(batch.column(5), i, "<i8").copy()
                 totals[0] = ends
+                classes = np.where(place > 0, frequent[place], _local(batch.column(6)[i].as_py(), len(place)))
+                classes[0] = END
                 p0 = (totals + BASE) / (n + BASE * (v + 1))
                 emitted = totals / held_by[classes]
                 before = np.concatenate((np.zeros(1, np.int32), tokens[:-1]))
                 p = p0[tokens]
                 seen = totals[tokens] > 0
-                model = np.where(seen, MIX * moves[classes[before], classes[tokens]] * emitted[tokens], 0.0) + (1 - MIX) * p if n else p
+                model = np.where(seen, MIX * moves[classes[before], classes[tokens]] * emitted[tokens], 0.0) + (1 - MIX) * p
+                model = np.where(totals[before] > 0, model, p)
                 starts = np.cumsum(lengths) - lengths
                 sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), np.log10(p), np.log10(model))]
                 columns = [batch.column(0)[i].values, pa.array(held), pa.array(lengths.astype(np.int64)), *map(pa.array, sums)]
@@ -330,6 +423,10 @@ def _scorer(table: np.ndarray, n: int, v: int, ends: int):
     return run
 
 
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{x.name} {({pa.int64(): 'bigint', pa.int32(): 'int'}).get(x.type, str(x.type))}" for x in schema)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """One row a document: ``id, held_out, n_tokens, n_known, base_score, score, train_tokens``; log10 probabilities."""
     spark = docs.sparkSession
@@ -341,27 +438,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
     spark.conf.set(_BATCH, BLOCKS_A_BATCH)
     try:
         names = frequent_words(blocks, top)
-        bigrams = top_bigrams(blocks, names)
-        classes = exchange(bigrams)
-        hot = np.eye(WIDTH)[classes]
         buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        packed = blocks.select("block", "held", "lengths", "tokens", "words", "counts").mapInArrow(
-            _to_buckets(names, classes, buckets),
-            "block bigint, bucket int, words string, numbers binary, counts binary, entry_word binary, entry_class binary, entry_n binary",
-        )
-        placed = packed.groupBy("bucket").applyInArrow(_classify(names, classes, hot.T @ bigrams @ hot), "block bigint, numbers binary, totals binary, classes binary, distinct bigint")
-        placed = materialize(placed, "lm_classes")
-        n = int(bigrams.sum())  # every training token follows one
-        ends = int(bigrams[:, 0].sum())
-        v = int(placed.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]) + (ends > 0)
-        own = placed.groupBy("block").agg(F.collect_list(F.struct("numbers", "totals", "classes")).alias("known"))
-        whole = blocks.select("block", "ids", "held", "lengths", "tokens", F.size("words").alias("size")).join(own, "block", "left").drop("block")
-        joined = whole.mapInArrow(_joined, f"ids array<{id_type}>, held binary, lengths binary, tokens binary, totals binary, classes binary, pairs binary")
-        joined = materialize(joined, "lm_joined")
-        table = np.zeros(WIDTH * WIDTH)
-        for r in joined.select("pairs").mapInArrow(_pair_sums, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
-            table[r["at"]] = r["n"]
-        out = joined.drop("pairs").mapInArrow(_scorer(table.reshape(WIDTH, WIDTH), n, v, ends), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        totals = blocks.select("block", "words", "counts").mapInArrow(_to_words(buckets), _ddl(_WORDS)).groupBy("bucket").applyInArrow(_sum_words, _ddl(_TOTALS))
+        totals = materialize(totals, "lm_totals")
+        v = int(totals.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
+        own = totals.groupBy("block").agg(F.collect_list(F.struct("bucket", "numbers", "at", "totals")).alias("known"))
+        texts = f"block bigint, ids array<{id_type}>, held binary, lengths binary, tokens binary, place binary"
+        placed = blocks.select("block", "ids", "held", "lengths", "tokens", "words").mapInArrow(_places(names), texts)
+        coded = materialize(placed.join(own, "block", "left").mapInArrow(_coded, f"{texts}, bucket binary, at binary, totals binary"), "lm_coded")
+
+        def with_classes(columns: list[str], placed: DataFrame | None) -> DataFrame:
+            if placed is None:
+                return coded.select(*columns, F.lit(None).cast("array<struct<numbers: binary, classes: binary>>").alias("known"))
+            known = placed.groupBy("block").agg(F.collect_list(F.struct("numbers", "classes")).alias("known"))
+            return coded.select("block", *[x for x in columns if x != "block"]).join(known, "block", "left").select(*columns, "known")
+
+        placed = best = None
+        of_top = np.arange(len(names)) % CLASSES
+        for turn in range(ROUNDS + 1):
+            rows = with_classes(["block", "held", "lengths", "tokens", "place", "bucket", "at", "totals"], placed)
+            packed = materialize(rows.mapInArrow(_evidence(len(names), buckets, turn < ROUNDS), _ddl(_PACKED)), "lm_evidence")
+            bigrams = _bigrams(packed, len(names) + CLASSES + 2)
+            class_of = exchange(bigrams, SWEEPS, np.concatenate(([END], of_top, np.arange(CLASSES), [OTHER])), len(names))
+            hot = np.eye(WIDTH)[class_of]
+            table = hot.T @ bigrams @ hot
+            # words of all buckets move at once: a round that loses likelihood by it doesn't count and ends the rounds
+            if best and turn > 1 and likelihood(table) <= best[0]:
+                break
+            best = likelihood(table), placed, class_of, table
+            of_top = class_of[1 : len(names) + 1]
+            if turn < ROUNDS:
+                moved = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_place(table, class_of, turn == 0), _ddl(_PLACED))
+                placed = materialize(moved, "lm_classes")
+        _, placed, class_of, table = best
+        n, ends = int(table.sum()), int(table[:, END].sum())  # every training token follows one
+        rows = with_classes(["ids", "held", "lengths", "tokens", "place", "totals"], placed)
+        out = rows.mapInArrow(_scorer(table, class_of[: len(names) + 1].astype(np.uint8), n, v + (ends > 0), ends), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
         return materialize(out.withColumn("train_tokens", F.lit(n).cast("long")), "lm_scores")
     finally:
         spark.conf.set(_BATCH, before)

@@ -59,6 +59,24 @@ def test_frequent_words_do_not_depend_on_blocks(spark):
         assert brown_lm.frequent_words(blocks, 1) == ["wide"]
 
 
+def test_gains_of_many_words_equal_gains_of_one():
+    rng = np.random.default_rng(5)
+    n = 150
+    counts = rng.poisson(0.3, (n, n)).astype(float)
+    classes = rng.integers(0, brown_lm.CLASSES, n)
+    classes[:10] = [brown_lm.END, brown_lm.OTHER, brown_lm.OTHER, *[3] * 7]
+    hot = np.eye(brown_lm.WIDTH)[classes]
+    table, selves = hot.T @ counts @ hot, np.diag(counts)
+    rows, columns = counts @ hot - selves[:, None] * hot, counts.T @ hot - selves[:, None] * hot
+    found = brown_lm.move_gains(rows[1:], columns[1:], selves[1:], classes[1:], table)
+    for w in range(1, n):
+        out = table.copy()
+        out[classes[w]] -= rows[w]
+        out[:, classes[w]] -= columns[w]
+        out[classes[w], classes[w]] -= selves[w]
+        assert np.allclose(found[w - 1], brown_lm.gains(rows[w][None], columns[w][None], out, selves[w : w + 1])[0], atol=1e-8)
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     words = 30
