@@ -13,7 +13,7 @@ exchanged against the new classes. The rounds end when one doesn't raise the lik
 Scale: no row a token ever leaves a task. A task turns texts into blocks: a block has its own word list and its texts as numbers into it.
 Shuffled are one entry a block and distinct word: once to the word's bucket with its count and back with its total and place there; in each round
 to the bucket with its neighbours' classes and back with its own. Entries travel packed, an array a block and bucket. Per-word totals are exact sums over all
-training texts. Blocks are bounded by settings, not by the corpus; the table of class bigrams has WIDTH**2 entries.
+training texts. Blocks and buckets are bounded by settings, not by the corpus; the table of class bigrams has WIDTH**2 entries.
 
 Training texts: those whose id's crc32 leaves a remainder by 10. Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.
 
@@ -44,6 +44,8 @@ MIX = 0.9
 BASE = 0.1
 BLOCK_BYTES = 2 << 20
 BLOCKS_A_BATCH = 1
+#: Entries of a block and word that a bucket gets, about.
+BUCKET_WORDS = 1 << 18
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The class of the end mark, and that of words outside TOP before their placing.
 END, OTHER = CLASSES, CLASSES + 1
@@ -423,6 +425,12 @@ def _scorer(table: np.ndarray, frequent: np.ndarray, n: int, v: int, ends: int):
     return run
 
 
+def bucket_count(blocks: DataFrame, words: int) -> int:
+    """So many buckets that each gets about ``words`` distinct words of blocks, however large the corpus."""
+    entries = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    return max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // words))
+
+
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{x.name} {({pa.int64(): 'bigint', pa.int32(): 'int'}).get(x.type, str(x.type))}" for x in schema)
 
@@ -438,7 +446,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
     spark.conf.set(_BATCH, BLOCKS_A_BATCH)
     try:
         names = frequent_words(blocks, top)
-        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        buckets = bucket_count(blocks, BUCKET_WORDS)
         totals = blocks.select("block", "words", "counts").mapInArrow(_to_words(buckets), _ddl(_WORDS)).groupBy("bucket").applyInArrow(_sum_words, _ddl(_TOTALS))
         totals = materialize(totals, "lm_totals")
         v = int(totals.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])

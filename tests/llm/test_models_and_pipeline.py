@@ -59,6 +59,12 @@ def test_frequent_words_do_not_depend_on_blocks(spark):
         assert brown_lm.frequent_words(blocks, 1) == ["wide"]
 
 
+def test_buckets_follow_the_corpus(spark):
+    blocks = brown_lm._blocks(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1000)))], "id long, text string"))
+    assert brown_lm.bucket_count(blocks, 10) == 100
+    assert brown_lm.bucket_count(blocks, 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_gains_of_many_words_equal_gains_of_one():
     rng = np.random.default_rng(5)
     n = 150
