@@ -343,14 +343,14 @@ def training_set(spark, sf_dir):
 @query
 def ml_train_eval(spark, sf_dir):
     rows = materialize(training_rows(spark, sf_dir), "training")
-    _, metrics, _ = training_plan.train(rows, new_folder(spark, "models"))
+    _, metrics, *_ = training_plan.train(rows, new_folder(spark, "models"))
     return metrics.select("model", *[rounded(c) for c in ("precision", "recall", "accuracy", "f1")])
 
 
 @query
 def ml_importance(spark, sf_dir):
     rows = materialize(training_rows(spark, sf_dir), "training")
-    fitted, _ = models.train_models(rows, training_plan.ROW_KEYS, names=["Logistic_Regression", "Decision_Trees"])
+    fitted, _ = models.train_models(rows, training_plan.ROW_KEYS)
     return models.feature_importance(fitted, spark)
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions.text import strip
+from pairloom.operators.evaluate import confusion
 from pairloom.operators.features import add_master_features, add_pair_features, add_supplier_features
-from pairloom.operators.models import evaluate_models, train_models
+from pairloom.operators.models import evaluate_models, feature_importance, labelled_predictions, train_models
 from pairloom.operators.scoring import score_pairs
 from pairloom.operators.synthetic import synthetic_pairs
 from pairloom.session import materialize
@@ -40,10 +41,11 @@ def training_set(master: DataFrame, iterations: int = fv.SHUFFLE_ITERATIONS, see
 
 
 def train(training: DataFrame, model_folder: str | None = None,
-          **options) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
-    """Fit, evaluate and optionally save the four models: (models, metrics, report) (ML9)."""
+          **options) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Fit, evaluate and optionally save the four models: (models, metrics, report, confusion, importances) (ML9)."""
     models, test = train_models(training, [k for k in ROW_KEYS if k in training.columns], **options)
     if model_folder:
         save_models(models, model_folder)
     metrics, report = evaluate_models(models, test)
-    return models, metrics, report
+    counts = confusion(labelled_predictions(models, test), ["model"])
+    return models, metrics, report, counts, feature_importance(models, training.sparkSession)

@@ -73,6 +73,21 @@ def test_models_learn_save_and_load(spark, training, tmp_path):
     assert models.predict(loaded, training, refit=True).count() == 400
 
 
+def test_training_gives_confusion_and_importances_of_all_models(training):
+    fitted, _, report, confusion, importances = training_plan.train(training, rounds=2)
+    assert len(fitted) == 4 and {r.model for r in confusion.collect()} == set(fitted)
+    assert sorted(r.model for r in importances.collect()) == sorted([*fitted] * 4)
+    rows = {r.support for r in report.where("label = 'accuracy'").collect()}
+    assert {r.n for r in confusion.groupBy("model").agg(F.sum("n").alias("n")).collect()} == rows
+
+
+def test_importances_of_all_models(spark, monkeypatch, training):
+    from catalog import queries
+    monkeypatch.setattr(queries, "training_rows", lambda *_: training)
+    found = queries.ml_importance(spark, "")
+    assert found.select("model").distinct().count() == 4 and found.count() == 16
+
+
 def test_split_depends_on_values_only(training):
     first = {r.m_id for r in models.split_train_test(training, keys=["m_id"])[1].collect()}
     again = {r.m_id for r in models.split_train_test(training.repartition(5), keys=["m_id"])[1].collect()}
