@@ -147,6 +147,15 @@ def test_ids_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_master_files_in_id_order(spark, tmp_path):
+    from catalog import queries
+    frame = spark.range(3000).selectExpr("(id * 7919) % 3000 as m_id", "concat('title ', (id * 7919) % 3000) as mas_title", "'1' as p_eans", "'2' as cp_eans", "'3' as cp_un_eans")
+    writers.write_table(queries.in_id_order(frame), f"{tmp_path}/master.csv")
+    assert len(list((tmp_path / "master.csv").glob("part-*.csv"))) > 1
+    got = readers.read_master(spark, f"{tmp_path}/master.csv").select("m_id", "mas_title").collect()
+    assert sorted((r.m_id, r.mas_title) for r in got) == [(i, f"title {i}") for i in range(3000)]
+
+
 def test_training_csv_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5, 'a "b", c'), (2, None, "d")], "m_id int, price_diff double, title string")
     writers.write_training(rows, str(tmp_path), kind="csv")
