@@ -48,9 +48,8 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.lists = np.argsort(self.x, axis=0, kind="stable").astype(np.int32).T.copy()  # a row a dimension, ascending
-        # products of doubles are exact below 2**53 and much faster than those of integers
-        self.exact = x.size == 0 or float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] < 2**53
-        self.values = self.x.astype(float) if self.exact else self.x
+        self.largest = float(np.abs(x).max(initial=0)) * x.shape[1]
+        self.values = self.x.astype(float)
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k best rows, and how many rows were scored."""
@@ -61,6 +60,9 @@ class Block:
         depth, step, scored = 0, FIRST_STEP, 0
         lists = self.lists[use]
         up = q[use] > 0
+        # products of doubles are exact below 2**53 and much faster than those of integers
+        exact = self.largest * float(np.abs(q).max(initial=0)) < 2**53
+        values, by = (self.values, q.astype(float)) if exact else (self.x, q)
         while depth < n:
             until = min(n, depth + step)
             new = np.concatenate([(lists[up, n - until : n - depth]).ravel(), lists[~up, depth:until].ravel()]) if len(use) else np.arange(n)
@@ -68,7 +70,7 @@ class Block:
             seen[new] = True
             scored += len(new)
             new = new[self.ids[new] != query_id]
-            s = (self.values[new] @ (q.astype(float) if self.exact else q)).astype(np.int64)
+            s = (values[new] @ by).astype(np.int64)
             ids, scores = np.concatenate([best_id, self.ids[new]]), np.concatenate([best, s])
             keep = np.lexsort((ids, -scores))[:k]
             best_id, best = ids[keep], scores[keep]

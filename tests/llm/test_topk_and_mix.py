@@ -103,3 +103,10 @@ def test_flight_keeps_both_sums():
     assert abs(new.sum() - p.sum()) < 1e-6 and abs((new * size).sum() - (p * size).sum()) < 1e-3
     mean = np.mean([cube_mix.land(cube_mix.fly(p[:20], size[:20], np.random.default_rng(i).random(30)), size[:20], float("nan")) for i in range(800)], axis=0)
     assert np.abs(mean - p[:20]).max() < 0.15
+
+
+def test_large_queries_are_scored_in_whole_numbers():
+    x = np.array([[1024, 3], [1024, 2], [1024, 1]], np.int64)
+    q = np.array([2**50 + 1, 1], np.int64)
+    ids, scores, _ = topk_threshold.Block(np.array([5, 6, 7]), x).top(1, q, 3)
+    assert list(zip(ids.tolist(), scores.tolist())) == [(i, 1024 * (2**50 + 1) + n) for i, n in ((5, 3), (6, 2), (7, 1))]
