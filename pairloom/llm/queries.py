@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe_chunks, brown_lm, chat_grammar, cube_mix, dart_minhash, exact_dedup, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
+from pairloom.llm import bpe_chunks, brown_lm, chat_grammar, cube_mix, dart_minhash, exact_dedup, merkle_manifest, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
 from pairloom.llm.common import id_crc, table
 from pairloom.session import ship_package
 
@@ -141,3 +141,54 @@ def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_weak.personal_data(table(spark, sf_dir, "documents"))
     of = [F.size(F.filter("base", lambda x: x["kind"] == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii_weak.KINDS)]
     return out.select(F.col("id").alias("doc_id"), *of, F.sha2(pii_weak.text_of(F.col("base")), 256).alias("base_sha256"), pii_weak.text_of(F.col("spans")).alias("spans"))
+
+
+_LEAF = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle_manifest.FIELDS)
+_ROUND = "list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"  # eight bits of a crc32
+
+
+def _tree(name: str, key: str, leaves: str) -> str:
+    """CTEs of all nodes by level: the sources' trees, or the one above them."""
+    return f"""{name} AS (SELECT 0 AS lvl, {key}, pos, h FROM {leaves} UNION ALL
+        SELECT lvl + 1, {key}, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+        FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS c FROM {name}) WHERE c > 1 GROUP BY lvl, {key}, pos // 3)"""
+
+
+def _path(of: str, tree: str, key: str, first: str) -> str:
+    """For each node of ``of`` the siblings left and right of its path, level by level, until its tree's root."""
+    return f"""(SELECT o.{key}, o.pos, {first} + n.lvl AS step, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < n.pos), '') AS l,
+               coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > n.pos), '') AS r
+        FROM {of} o JOIN {tree} n ON n.{key} IS NOT DISTINCT FROM o.{key} AND n.pos = o.pos // CAST(3 ** n.lvl AS BIGINT)
+        JOIN {tree} b ON b.{key} IS NOT DISTINCT FROM n.{key} AND b.lvl = n.lvl AND b.pos // 3 = n.pos // 3
+        WHERE n.lvl < (SELECT max(lvl) FROM {tree} m WHERE m.{key} IS NOT DISTINCT FROM o.{key}) GROUP BY ALL)"""
+
+
+@query(f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_LEAF}) AS h, doc_id IS NOT NULL AND text IS NOT NULL
+         AND (list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+              lambda x0, b: list_reduce(list_transform([xor(x0, b)], lambda x: {_ROUND}), lambda p, q: p)) & 1) = 1 AS touched, lang, n_chars, text
+  FROM documents),
+t AS (SELECT doc_id, source, h, CASE WHEN touched THEN sha256({_LEAF.replace("text::", "replace(text, chr(10), '')::")}) ELSE h END AS h2,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM d),
+{_tree("up", "source", "t")},
+subs AS (SELECT source, max_by(h, lvl) AS h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, 0 AS one FROM up GROUP BY source),
+{_tree("top", "one", "subs")},
+whole AS (SELECT max_by(h, lvl) AS root FROM top),
+low AS {_path("t", "up", "source", "0")},
+high AS {_path("subs", "top", "one", "100")},
+path AS (SELECT t.source, t.pos, step, l, r FROM t JOIN low ON low.source IS NOT DISTINCT FROM t.source AND low.pos = t.pos UNION ALL
+         SELECT t.source, t.pos, step, l, r FROM t JOIN subs ON subs.source IS NOT DISTINCT FROM t.source JOIN high ON high.pos = subs.pos),
+steps AS (SELECT *, row_number() OVER (PARTITION BY source, pos ORDER BY step) AS i FROM path),
+fold AS (SELECT source, pos, 0::BIGINT AS i, h2 AS x FROM t UNION ALL
+         SELECT f.source, f.pos, f.i + 1, sha256(s.l || f.x || s.r) FROM fold f JOIN steps s
+           ON s.source IS NOT DISTINCT FROM f.source AND s.pos = f.pos AND s.i = f.i + 1),
+ends AS (SELECT source, pos, max_by(x, i) AS folded_root FROM fold GROUP BY ALL),
+proofs AS (SELECT source, pos, sha256(string_agg(l || r, '' ORDER BY i)) AS proof FROM steps GROUP BY ALL)
+SELECT t.doc_id, t.h AS leaf, subs.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM t CROSS JOIN whole JOIN subs ON subs.source IS NOT DISTINCT FROM t.source
+JOIN ends ON ends.source IS NOT DISTINCT FROM t.source AND ends.pos = t.pos
+LEFT JOIN proofs ON proofs.source IS NOT DISTINCT FROM t.source AND proofs.pos = t.pos
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents")).drop("source")
