@@ -200,12 +200,14 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 g AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS g FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
-f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+f AS MATERIALIZED (SELECT lang, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
 covered AS (SELECT DISTINCT s.lang, s.g FROM f s JOIN (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS part FROM f WHERE len(g) = 3) b
             ON b.lang = s.lang AND b.part = s.g AND 100 * b.a >= 50 * s.a),
-cut AS (SELECT f.lang, f.g, f.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * f.a * f.a) // (x.a::HUGEINT * y.a) AS score
-        FROM f JOIN (SELECT unnest([1, 2]) AS k) ON k < len(f.g) JOIN f x ON x.lang = f.lang AND x.g = f.g[1:k] JOIN f y ON y.lang = f.lang AND y.g = f.g[k + 1:]
-        QUALIFY row_number() OVER (PARTITION BY f.lang, f.g ORDER BY score, k) = 1),
+parts AS MATERIALIZED (SELECT lang, g, a, k, g[1:k] AS head, g[k + 1:] AS tail FROM f, (SELECT unnest([1, 2]) AS k) WHERE k < len(g)),
+heads AS MATERIALIZED (SELECT p.*, x.a AS l FROM parts p JOIN f x ON x.lang = p.lang AND x.g = p.head),
+cut AS (SELECT h.lang, h.g, h.a, k, l, y.a AS r, (1000000::HUGEINT * h.a * h.a) // (l::HUGEINT * y.a) AS score
+        FROM heads h JOIN f y ON y.lang = h.lang AND y.g = h.tail
+        QUALIFY row_number() OVER (PARTITION BY h.lang, h.g ORDER BY score, k) = 1),
 s AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM cut ANTI JOIN covered USING (lang, g))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN n USING (lang)
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
