@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe_chunks, brown_lm, chat_grammar, cube_mix, dart_minhash, exact_dedup, merkle_manifest, phrases, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
+from pairloom.llm import bpe_chunks, brown_lm, chat_grammar, cube_mix, dart_minhash, exact_dedup, merkle_manifest, phrases, piece_language, pii_weak, suffix_dedup, topk_threshold, toxicity_mil
 from pairloom.llm.common import id_crc, table
 from pairloom.session import ship_package
 
@@ -214,3 +214,17 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase
 """)
 def op11_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def pieces_path() -> str:
+    """The vocabulary whose pieces language identification uses; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query()
+def op12_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = piece_language.predict(docs.select("doc_id", "text"), piece_language.fit(docs, pieces_path()))
+    return found.select("doc_id", (id_crc() % 4 == 2).alias("held_out"), "lang_pred", "score")
