@@ -8,10 +8,11 @@ pass over the second gives the counts of the ends and the extensions to the left
 keeps the last word and the last pair it has seen, no more. A hot word's phrases may lie in many parts; the word that is in force
 where a part begins is handed on to it (one row a part passes the driver).
 
-Before that, phrases that cannot reach the least count are left out, as a phrase is no more frequent than its parts. Two passes
-over the text sum, by 64-bit numbers, the counts of words, then of pairs of words that both may be frequent; a sketch of fixed size
-marks the numbers that reach the least count. A third pass counts, by their text, the words and phrases that the sketches let through.
-The sketches err only towards letting through: results do not depend on them, only the amount of shuffled data does.
+Before that, phrases that cannot reach the least count are left out, as a phrase is no more frequent than its parts. Three passes
+over the text sum, by numbers instead of texts, the counts of words, then of pairs of words that both may be frequent, then of
+triples of such pairs; after each a sketch of fixed size marks the numbers that reach the least count. A slice of text sends its numbers packed by ranges, four
+bytes and a count each. A last pass counts, by their text, the words and phrases that the sketches let through. Numbers that
+clash and full sketches err only towards letting through: results do not depend on them, only the amount of shuffled data does.
 
 Counts are summed in each slice of text and again before the shuffle, so that no word's occurrences meet in one task.
 
@@ -42,6 +43,9 @@ TOP = 2_000
 SCALE = 1_000_000
 #: Bits of a sketch; 27 are 16 MB, sent to the driver once and broadcast.
 SKETCH_BITS = 27
+#: Text whose numbers make up one range, on average: what a task sums at once.
+RANGE_BYTES = 16 << 20
+MOST_RANGE_BITS = 20
 SLICE_BYTES = 4 << 20
 UNKNOWN = "und"
 
@@ -64,21 +68,65 @@ class Sketch:
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def sketch_of(counts: DataFrame, bits: int) -> bytes:
-    """The bitmap of ``h``: summed by Spark in pieces of 4 KB, ``2 ** bits / 8`` bytes as a whole."""
-    bit = F.shiftrightunsigned("h", 64 - bits) + 1  # the bitmap functions count from 1
-    pieces = counts.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    size = 4096  # bytes of a piece of the bitmap functions
-    data = bytearray(max(1 << bits >> 3, size))
-    for r in pieces.collect():
-        data[(r.piece - 1) * size : r.piece * size] = r.bits
+def packed(h: np.ndarray, n: np.ndarray, least: int, range_bits: int) -> list[pa.Array]:
+    """Numbers by range: the range, the next 32 bits of each number, and its count up to ``least``."""
+    if not len(h):
+        return [pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())]
+    of = (h >> np.uint64(32) >> np.uint64(32 - range_bits)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    rest = ((h >> np.uint64(32 - range_bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
+    few = np.minimum(n, least).astype("<u4" if least > 255 else np.uint8)[order]
+    kinds, first = np.unique(of[order], return_index=True)
+    ends = [*first[1:].tolist(), len(h)]
+    cut = [(i, j) for i, j in zip(first.tolist(), ends)]
+    return [pa.array(kinds), pa.array([rest[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([few[i:j].tobytes() for i, j in cut], pa.binary())]
+
+
+def frequent_bits(rest: list[bytes], few: list[bytes], least: int, bits: int) -> bytes:
+    """The part of the sketch that one range fills, ``2 ** bits`` bits."""
+    rest, few = np.frombuffer(b"".join(rest), "<u4"), np.frombuffer(b"".join(few), "<u4" if least > 255 else np.uint8)
+    order = np.argsort(rest)
+    rest = rest[order]
+    first = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
+    found = rest[first][np.add.reduceat(few[order].astype(np.int64), first) >= least]
+    marks = np.zeros(1 << bits, np.uint8)
+    marks[(found.astype(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def sketch_of(numbers: DataFrame, least: int, bits: int, range_bits: int) -> bytes:
+    """The sketch of numbers that reach ``least``, from ``packed`` rows; ``2 ** bits / 8`` bytes reach the driver."""
+    parts = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, few = None, [], []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([frequent_bits(rest, few, least, bits - range_bits)], pa.binary())], names=["range", "bits"])
+
+        for batch in batches:
+            for at, r, f in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != now:
+                    if rest:
+                        yield done()
+                    now, rest, few = at, [], []
+                rest.append(r)
+                few.append(f)
+        if rest:
+            yield done()
+
+    ordered = numbers.repartition(parts, "range").sortWithinPartitions("range")
+    size = 1 << (bits - range_bits) >> 3
+    data = bytearray(1 << bits >> 3)
+    for r in ordered.mapInArrow(run, "range int, bits binary").collect():
+        data[r.range * size : (r.range + 1) * size] = r.bits
     return bytes(data)
 
 
 class Counted:
     """Distinct words and phrases of a slice of text and how often each occurs; ids are exact, not hashes."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], words: Sketch | None = None, pairs: Sketch | None = None):
+    def __init__(self, texts: list[bytes], langs: list[str], words: Sketch | None = None, pairs: Sketch | None = None, triples: Sketch | None = None):
         found = words_of(texts, WORD, BREAKS)
         lang_of, names = pd.factorize(np.array(langs, object))
         self.langs, self.tokens = names, np.bincount(lang_of[found.text], minlength=len(names))
@@ -104,12 +152,16 @@ class Counted:
         i = np.flatnonzero((at[1:] == at[:-1] + 1) & frequent[1:] & frequent[:-1])
         triple, self.triples = pd.factorize(pair[i] * len(self.unigrams) + code[at[i] + 2])
         self.n3 = np.bincount(triple, minlength=len(self.triples))
+        of, third = np.divmod(self.triples, max(len(self.unigrams), 1))
+        self.h3 = joined_hashes(self.h2[of], self.h1[third])
+        if triples is not None:
+            self.keep3 = triples.holds(self.h3)
 
     def rows(self) -> list[pa.Array]:
         """lang, a, b, c, n of what the sketches let through, and a row without words for each language's tokens."""
         one = np.flatnonzero(self.keep1)
         two = np.flatnonzero(self.keep2)
-        three, third = np.divmod(self.triples, max(len(self.unigrams), 1))
+        three, third = np.divmod(self.triples[self.keep3], max(len(self.unigrams), 1))
         names = pa.array([str(x) for x in self.langs], pa.string())
 
         def words(of: np.ndarray) -> pa.Array:
@@ -123,7 +175,7 @@ class Counted:
         a = [nothing(len(names)), words(one), words(first[two]), words(first[three])]
         b = [nothing(len(names) + len(one)), words(second[two]), words(second[three])]
         c = [nothing(len(names) + len(one) + len(two)), words(third)]
-        n = np.concatenate((self.tokens, self.n1[one], self.n2[two], self.n3))
+        n = np.concatenate((self.tokens, self.n1[one], self.n2[two], self.n3[self.keep3]))
         return [names.take(pa.array(lang)), *[pa.concat_arrays(x) for x in (a, b, c)], pa.array(n.astype(np.int64))]
 
 
@@ -144,29 +196,25 @@ def counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS, lang_co
     spark = docs.sparkSession
     rows = docs.select(whole_text(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
 
-    def sketch(made):
-        found = _scan(rows, "h bigint, n bigint", made).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return spark.sparkContext.broadcast(sketch_of(found, bits))
-
-    def words(texts: list[bytes], langs: list[str]) -> list[pa.Array]:
-        c = Counted(texts, langs)
-        return [pa.array(c.h1.view(np.int64)), pa.array(c.n1)]
-
-    frequent_words = sketch(words)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    range_bits = min(max(size // RANGE_BYTES, 1).bit_length(), MOST_RANGE_BITS, bits - 3)
+    sketches: list = []  # broadcast, of words, pairs and triples
 
-    def pairs(texts: list[bytes], langs: list[str]) -> list[pa.Array]:
-        c = Counted(texts, langs, Sketch(bits, frequent_words.value))
-        return [pa.array(c.h2.view(np.int64)), pa.array(c.n2)]
+    for order in ("h1", "h2", "h3"):
+        def numbers(texts: list[bytes], langs: list[str], order: str = order, before: tuple = tuple(sketches)) -> list[pa.Array]:
+            found = Counted(texts, langs, *[Sketch(bits, x.value) for x in before])
+            return packed(getattr(found, order), getattr(found, "n" + order[1]), least, range_bits)
 
-    frequent_pairs = sketch(pairs)
+        sent = _scan(rows, "range int, rest binary, few binary", numbers)
+        sketches.append(spark.sparkContext.broadcast(sketch_of(sent, least, bits, range_bits)))
 
-    def phrases(texts: list[bytes], langs: list[str]) -> list[pa.Array]:
-        return Counted(texts, langs, Sketch(bits, frequent_words.value), Sketch(bits, frequent_pairs.value)).rows()
+    def phrases(texts: list[bytes], langs: list[str], all_: tuple = tuple(sketches)) -> list[pa.Array]:
+        return Counted(texts, langs, *[Sketch(bits, x.value) for x in all_]).rows()
 
     summed = _scan(rows, _STREAM, phrases).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
     out = materialize(summed.where((F.col("n") >= least) | F.col("a").isNull()), "phrase_counts")
-    frequent_words.unpersist()
-    frequent_pairs.unpersist()
+    for sketch in sketches:
+        sketch.unpersist()
     return out
 
 

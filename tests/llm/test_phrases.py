@@ -90,3 +90,22 @@ def test_hashes_do_not_depend_on_the_place():
     a = words.hashes(pa.array([b"one", b"two"], pa.binary()))
     b = words.hashes(pa.array([b"x", b"two", b"", b"one"], pa.binary()).slice(1))
     assert a[0] == b[2] and a[1] == b[0]
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(1, 30)), max_size=20), min_size=1, max_size=5), st.integers(1, 5))
+def test_packed_numbers_mark_their_bits(slices, range_bits):
+    bits, least, sent, total = 12, 10, {}, Counter()
+    for numbers in slices:
+        numbers = dict(numbers)
+        total.update(numbers)
+        h, n = np.array(list(numbers), np.uint64), np.array(list(numbers.values()), np.int64)
+        for at, rest, few in zip(*[x.to_pylist() for x in phrases.packed(h, n, least, range_bits)]):
+            sent.setdefault(at, []).append((rest, few))
+    data = bytearray(1 << bits >> 3)
+    size = 1 << (bits - range_bits) >> 3
+    for at, rows in sent.items():
+        data[at * size : (at + 1) * size] = phrases.frequent_bits(*zip(*rows), least, bits - range_bits)
+    sketch = phrases.Sketch(bits, bytes(data))
+    often = {h >> 52 for h, n in total.items() if n >= least}
+    for h in total:
+        assert sketch.holds(np.array([h], np.uint64))[0] == (h >> 52 in often)
