@@ -231,8 +231,10 @@ def training_words(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id"
     langs = [x for x, _ in share]
     if not langs:
         return docs.sparkSession.createDataFrame([], "lang int, word binary, n bigint"), [], np.empty(0)
-    limit = docs.sparkSession.createDataFrame([(i, x, min(2**63 - 1, int(2**63 * min(1.0, sample / n)))) for i, (x, n) in enumerate(share)], "at int, lang string, most bigint")
-    chosen = known.join(limit, "lang").where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.col("most")).select(lower_text("text").alias("text"), "at")
+    # numbers and limits by language as literals: no text is shuffled
+    at = F.create_map(*[F.lit(x) for i, (lang, _) in enumerate(share) for x in (lang, i)])[F.col("lang")]
+    most = F.create_map(*[F.lit(x) for lang, n in share for x in (lang, min(2**63 - 1, int(2**63 * min(1.0, sample / n))))])[F.col("lang")]
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= most.cast("long")).select(lower_text("text").alias("text"), at.cast("int").alias("at"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
