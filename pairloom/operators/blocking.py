@@ -4,25 +4,23 @@ Ids are explicit columns, ``sup_id`` on the supplier side and ``m_id`` on the ma
 
 How the TF-IDF top-k stays exact without scoring every pair that shares an n-gram
 ---------------------------------------------------------------------------------
-Weights are unit-normalised, so a cosine is a sum over shared grams. All titles list their grams in
-one global order, rarest first, and every gram carries ``suf``: the norm of the title's weights from
-that gram to the end of the list. If the first gram two titles share is ``g``, the shared rest lies
-in both suffixes, so their cosine is at most ``suf_s(g) * suf_m(g)`` (Cauchy-Schwarz).
-
-1. *Floor.* Each supplier title is scored against a bounded list of promising master titles (the
-   strongest ``k`` titles of a few of its rare grams). The k-th best of those is a lower bound of the
-   true k-th score: the floor of that title.
-2. *Candidates.* A pair can only reach the floor if it shares a gram with
-   ``suf_s * suf_m >= floor``, and if what it has in these grams and the most it can have behind them
-   come to the floor together. Frequent grams come last, have small suffixes and drop out for almost
-   every title; where a title has nothing else they stay in, and the result is still whole.
-3. *Scoring* of those pairs only, and the top-k.
-
-Equal normalised titles have equal vectors, so 1-3 run on distinct titles. A group of copies counts
+Weights are unit-normalised, so a cosine is a sum over shared grams. Master titles lie in blocks of posting lists that carry
+each gram's largest weight in the block (``operators.posting_blocks``). All titles list their grams in one order, rarest first, and
+every gram carries ``suf``: the norm of the title's weights from that gram to the end of the list.
+
+1. *First floor.* A supplier title is scored against the block with the best partial sum over its rarer grams. The k-th best
+   score is a lower bound of the true k-th score: the floor of that title.
+2. *Bounds.* What a title can reach in a block is at most the sum of its weights times the block's largest ones over the rarer
+   grams, plus the norm of its remaining weights (Cauchy-Schwarz). Blocks that stay below the floor are skipped whole. The remaining
+   weights are cut off where their norm falls below a share of the floor, so that grams of nearly all blocks are hardly ever joined.
+3. *Iterated floors.* The blocks with the best bounds are scored first, which raises the floor; only what still reaches it is
+   scored after that. Inside a block the best partial sums raise it once more.
+
+Equal normalised titles have equal vectors, so all this runs on distinct titles. A group of copies counts
 with its size in the document frequencies and gives at most its ``k`` smallest ids to the result.
 
-Frequent grams and large groups of copies are cut into slices by their known size before they are
-joined (``operators.skew``), so no gram and no title is one task's work.
+A block that many titles want is read by several tasks, a slice of the titles each; large groups of copies are cut into
+slices by their known size (``operators.skew``), so no gram, block or title is one task's work.
 """
 
 from __future__ import annotations
@@ -32,12 +30,13 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions import text as tx
-from pairloom.operators.skew import every_slice, join_back, own_slice
+from pairloom.operators.posting_blocks import BLOCK_TITLES, SLACK, best_of, block_maxima, posting_blocks, score_blocks
+from pairloom.operators.skew import every_slice, own_slice
 from pairloom.session import materialize
 
-SCORE_DIGITS = 9
-SLACK = 1e-9  # float sums differ in the last bits; bounds give way by this much
-ROOT_SLACK = 1e-7  # the same for a norm that is the root of a difference
+TAIL = 0.5  # share of the floor that the weights left out of a bound may have as their norm
+SEED_BLOCKS = 16  # blocks that a gram brings to the search for the first blocks, those in which it weighs most
+FIRST, THEN = 1, 8  # blocks a title is scored against before its floor is known, and before it is raised
 
 
 def drop_missing_titles(df: DataFrame, title: str) -> DataFrame:
@@ -82,124 +81,95 @@ def inverse_document_frequencies(master_tf: DataFrame, master_titles: DataFrame)
 
 
 def _vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """(rep, n_rows, vec, weights): unit vectors over the master vocabulary.
+    """(rep, n_rows, vec): unit vectors over the master vocabulary, for an ``idf`` whose grams have numbers.
 
-    ``vec`` lists (df, gram, w, suf) with the rarest gram first, ``weights`` maps gram to w. Titles
-    without a known gram have no vector. One window partition is one title.
+    ``vec`` lists (df, gid, w, suf) with the rarest gram first. Titles without a known gram have no
+    vector. One window partition is one title.
     """
-    backwards = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("gram"))
+    backwards = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("gid"))
     square = F.col("raw") * F.col("raw")
     weighted = (
         tf.join(idf, "gram").withColumn("raw", F.col("tf") * F.col("idf"))
         .withColumns({"rest": F.sum(square).over(backwards.rowsBetween(Window.unboundedPreceding, 0)),
                       "total": F.sum(square).over(Window.partitionBy("rep"))})
-        .select("rep", "n_rows", F.struct("df", "gram", (F.col("raw") / F.sqrt("total")).alias("w"),
+        .select("rep", "n_rows", F.struct("df", "gid", (F.col("raw") / F.sqrt("total")).alias("w"),
                                           F.sqrt(F.col("rest") / F.col("total")).alias("suf")).alias("entry")))
-    return (weighted.groupBy("rep", "n_rows").agg(F.array_sort(F.collect_list("entry")).alias("vec"))
-            .withColumn("weights", F.map_from_entries(
-                F.transform("vec", lambda e: F.struct(e["gram"].alias("key"), e["w"].alias("value"))))))
+    return weighted.groupBy("rep", "n_rows").agg(F.array_sort(F.collect_list("entry")).alias("vec"))
 
 
-def _postings(vectors: DataFrame, title: str, entries: Column) -> DataFrame:
-    """One row per vector entry: gram, df, the title's name, and w and suf under the title's prefix."""
-    return (vectors.select(F.col("rep").alias(title), F.explode(entries).alias("e"))
-            .select(title, F.col("e.gram").alias("gram"), F.col("e.df").alias("df"),
-                    F.col("e.w").alias(f"{title}_w"), F.col("e.suf").alias(f"{title}_suf"), _after("e").alias(f"{title}_after")))
+def _postings(vectors: DataFrame, entries: Column, *more: str) -> DataFrame:
+    return vectors.select(F.col("rep").alias("s"), *more, F.explode(entries).alias("e")).select("s", *more, "e.gid", "e.w")
 
 
-def _after(entry: str) -> Column:
-    """An upper bound for the norm of a title's weights behind a vector entry."""
-    rest = F.col(f"{entry}.suf") * F.col(f"{entry}.suf") - F.col(f"{entry}.w") * F.col(f"{entry}.w")
-    return F.sqrt(F.greatest(rest, F.lit(0.0))) + ROOT_SLACK
+def _first_blocks(s_vectors: DataFrame, maxima: DataFrame, first: int) -> DataFrame:
+    """(s, block, floor) of the ``first`` blocks with the best partial sums over the grams that make up most of a title."""
+    by_weight = Window.partitionBy("gid").orderBy(F.desc("top"), "block")
+    champions = maxima.withColumn("nth", F.row_number().over(by_weight)).where(F.col("nth") <= SEED_BLOCKS).drop("nth")
+    seeds = _postings(s_vectors, F.filter("vec", lambda e, i: (e["suf"] >= 0.3) | (i < 1)))
+    partial = seeds.join(champions, "gid").groupBy("s", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    return _by_bound(partial).where(F.col("nth") <= first).select("s", "block", F.lit(0.0).alias("floor"))
 
 
-def _cosines(pairs: DataFrame, s_vectors: DataFrame, m_vectors: DataFrame) -> DataFrame:
-    """(s, m, m_rows, score) for title pairs (s, m), score rounded for a stable ranking."""
-    products = F.map_zip_with("s_weights", "m_weights", lambda _, a, b: F.coalesce(a * b, F.lit(0.0)))
-    cosine = F.aggregate(F.map_values(products), F.lit(0.0), lambda acc, x: acc + x)
-    return (pairs
-            .join(s_vectors.select(F.col("rep").alias("s"), F.col("weights").alias("s_weights")), "s")
-            .join(m_vectors.select(F.col("rep").alias("m"), F.col("n_rows").alias("m_rows"),
-                                   F.col("weights").alias("m_weights")), "m")
-            .select("s", "m", "m_rows", F.round(cosine, SCORE_DIGITS).alias("score")))
+def _by_bound(bounded: DataFrame) -> DataFrame:
+    """With ``nth``: the place of a block among those of its title."""
+    return bounded.withColumn("nth", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("bound"), "block")))
 
 
-def _best_titles(scored: DataFrame, k: int) -> DataFrame:
-    """The master titles that can give rows to the top ``k`` of a supplier title.
+def _bounds(s_vectors: DataFrame, maxima: DataFrame, floors: DataFrame) -> DataFrame:
+    """(s, block, bound, floor) of the blocks in which s can reach its floor; see the module text.
 
-    A title ranks by score, then by its smallest id, which is its name. At most ``k`` titles are
-    needed, and none of those that have ``k`` or more rows with a higher score before them. The rank
-    limit applies before the shuffle, so a title with many candidates does not meet in one task.
+    A hot gram is cut into slices by adaptive execution: both sides come straight from a shuffle.
     """
-    order = Window.partitionBy("s").orderBy(F.desc("score"), "m")
-    higher = Window.partitionBy("s").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("s", "score")
-    return (scored.withColumn("title_rank", F.row_number().over(order)).where(F.col("title_rank") <= k)
-            .withColumn("rows_to_here", F.sum("m_rows").over(higher))
-            .withColumn("rows_before", F.col("rows_to_here") - F.sum("m_rows").over(same))
-            .where(F.col("rows_before") < k))
-
-
-def _floors(s_vectors: DataFrame, m_vectors: DataFrame, k: int, seed_grams: int) -> DataFrame:
-    """(s, floor): a lower bound of the k-th best score of every supplier title.
-
-    Seeds are the ``seed_grams`` rarest grams of the title and the ``seed_grams`` rarest among those
-    that alone reach ``k`` master rows. Each gram brings the at most ``k`` master titles in which it
-    weighs most. Titles that meet fewer than ``k`` rows this way get the floor 0.
-    """
-    strongest = Window.partitionBy("gram").orderBy(F.desc("m_w"), "m")
-    champions = (_postings(m_vectors, "m", F.col("vec")).withColumn("strength", F.row_number().over(strongest))
-                 .where(F.col("strength") <= k).select("gram", "m"))
-    n_short = F.size(F.filter("vec", lambda e: e["df"] < k))
-    seeds = F.filter("vec", lambda e, i: (i < seed_grams) | ((i >= n_short) & (i < n_short + seed_grams)))
-    pairs = join_back(_postings(s_vectors, "s", seeds), champions, ["gram"]).select("s", "m").distinct()
-    best = _best_titles(_cosines(pairs, s_vectors, m_vectors), k)
-    return best.groupBy("s").agg(
-        F.when(F.sum("m_rows") >= k, F.min("score")).otherwise(F.lit(0.0)).alias("floor"))
-
-
-def _candidates(s_vectors: DataFrame, m_vectors: DataFrame, floors: DataFrame) -> DataFrame:
-    """Title pairs (s, m) that can reach the floor of s; see the module text.
-
-    The gram join adds up what a pair has in its shared grams. Grams that are no longer joined come after the last joined one, so
-    they add at most the product of both norms behind it: the least such product over the joined grams.
-    """
-    bounded = s_vectors.join(floors.withColumnRenamed("s", "rep"), "rep", "left").withColumn(
-        "floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
-    needed = F.filter("vec", lambda e: e["suf"] >= F.col("floor"))
-    left = (bounded.select(F.col("rep").alias("s"), "floor", F.explode(needed).alias("e"))
-            .select("s", F.col("e.gram").alias("gram"), F.col("e.df").alias("df"),
-                    F.col("e.w").alias("w"), _after("e").alias("after"), "floor",
-                    (F.col("floor") / F.col("e.suf")).alias("need")))
-    # master entries below what every supplier title needs of the gram stay out of the second join
-    weakest = left.groupBy("gram").agg(F.min("need").alias("weakest_need"))
-    right = (join_back(_postings(m_vectors, "m", F.col("vec")), weakest, ["gram"])
-             .where(F.col("m_suf") >= F.col("weakest_need") - SLACK)
-             .select("gram", own_slice(F.col("m"), F.col("df")).alias("slice"), "m", "m_w", "m_suf", "m_after"))
-    left = left.select("s", "gram", "need", "w", "after", "floor", F.explode(every_slice(F.col("df"))).alias("slice"))
-    return (left.join(right, ["gram", "slice"]).where(F.col("m_suf") >= F.col("need") - SLACK)
-            .groupBy("s", "floor", "m")
-            .agg(F.sum(F.col("w") * F.col("m_w")).alias("partial"), F.min(F.col("after") * F.col("m_after")).alias("rest"))
-            .where(F.col("partial") + F.col("rest") >= F.col("floor")).select("s", "m"))
+    floored = s_vectors.join(floors.withColumnRenamed("s", "rep"), "rep", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    left_out = F.filter("vec", lambda e: e["suf"] < F.col("floor") * TAIL)
+    floored = floored.withColumn("rest", F.when(F.size(left_out) > 0, left_out[0]["suf"]).otherwise(F.lit(0.0)))
+    entries = _postings(floored, F.filter("vec", lambda e: e["suf"] >= F.col("floor") * TAIL), "floor", "rest")
+    return (entries.join(maxima, "gid").groupBy("s", "block", "floor", "rest").agg(F.sum(F.col("w") * F.col("top")).alias("known"))
+            .select("s", "block", (F.col("known") + F.col("rest")).alias("bound"), (F.col("floor") - SLACK).alias("floor"))
+            .where(F.col("bound") >= F.col("floor")))
+
+
+def _best_pairs(s_vectors: DataFrame, m_vectors: DataFrame, k: int, block_titles: int) -> tuple[DataFrame, DataFrame]:
+    """Each supplier title's best master titles (``best_of``), and all (s, block) that were scored for them."""
+    blocks = materialize(posting_blocks(m_vectors, block_titles), "posting_blocks")
+    maxima = materialize(block_maxima(blocks), "block_maxima")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return materialize(score_blocks(pairs, s_vectors, blocks, k), "scored_titles")
+
+    first = materialize(_first_blocks(s_vectors, maxima, FIRST), "first_blocks")
+    best = scored(first)
+    visited = first.select("s", "block")
+    bounded = _bounds(s_vectors, maxima, best_of(best, k).select("s", "floor")).join(visited, ["s", "block"], "left_anti")
+    bounded = materialize(_by_bound(bounded), "block_bounds")
+    most = bounded.agg(F.max("nth")).first()[0] or 0
+    if most:
+        then = bounded.where(F.col("nth") <= THEN).select("s", "block", "floor")
+        best, visited = best.unionByName(scored(then)), visited.unionByName(then.select("s", "block"))
+    if most > THEN:
+        raised = best_of(best, k).select("s", F.col("floor").alias("raised"))
+        last = (bounded.where(F.col("nth") > THEN).join(raised, "s", "left")
+                .withColumn("floor", F.greatest("floor", F.col("raised") - SLACK)).where(F.col("bound") >= F.col("floor")))
+        last = materialize(last.select("s", "block", "floor"), "last_blocks")
+        best, visited = best.unionByName(scored(last)), visited.unionByName(last.select("s", "block"))
+    return best_of(best, k), visited
 
 
 def tfidf_blocking(supplier: DataFrame, master: DataFrame, title: str = "title", master_title: str = "mas_title",
-                   k: int = fv.TOP_CANDIDATES, n: int = fv.NGRAM_SIZE, seed_grams: int = 2) -> DataFrame:
+                   k: int = fv.TOP_CANDIDATES, n: int = fv.NGRAM_SIZE, block_titles: int = BLOCK_TITLES) -> DataFrame:
     """The ``k`` master rows with the highest TF-IDF cosine for every supplier row (JOIN2, TOP2).
 
     Returns (sup_id, m_id, cos_score, rank). Only pairs that share an n-gram count, ties go to the
-    smaller ``m_id``, items without any stay out. The result does not depend on ``seed_grams``.
+    smaller ``m_id``, items without any stay out. The result does not depend on ``block_titles``.
     """
-    m_titles = _distinct_titles(master, "m_id", master_title)
+    m_titles = materialize(_distinct_titles(master, "m_id", master_title), "master_titles")
     m_tf = term_frequencies(m_titles, n)
-    idf = materialize(inverse_document_frequencies(m_tf, m_titles), "idf")
-    m_vectors = materialize(_vectors(m_tf, idf), "master_vectors")
+    idf = materialize(inverse_document_frequencies(m_tf, m_titles).withColumn("gid", F.monotonically_increasing_id()), "idf")
+    m_vectors = materialize(_vectors(m_tf, idf).join(m_titles.select("rep", "norm"), "rep"), "master_vectors")
     s_titles = materialize(_distinct_titles(supplier, "sup_id", title), "supplier_titles")
     s_vectors = materialize(_vectors(term_frequencies(s_titles, n), idf), "supplier_vectors")
-
-    floors = materialize(_floors(s_vectors, m_vectors, k, seed_grams), "floors")
-    pairs = _candidates(s_vectors, m_vectors, floors)
-    best = _best_titles(_cosines(pairs, s_vectors, m_vectors), k)
+    best, _ = _best_pairs(s_vectors, m_vectors, k, block_titles)
+    best = best.select("s", F.explode(F.arrays_zip("m", "score")).alias("e")).select("s", "e.m", "e.score")
 
     # copies of a master title: only its k smallest ids can be needed
     by_id = Window.partitionBy("norm").orderBy("m_id")
