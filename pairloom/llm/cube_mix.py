@@ -7,13 +7,15 @@ by cap over weight, the level is the first that no later cap is below).
 Draw: with r = target / source size, each document is taken floor(r) times, and once more with probability
 p = r - floor(r). Which documents those are is decided by the cube method. In groups of ``GROUP`` documents of one
 source, the vector of probabilities moves along directions of the null space of the balancing constraints (sum of
-extra copies, sum of their words), which changes neither sum, until documents reach 0 or 1: three documents have such a
-direction, and each move settles at least one of them, so at most two of a group stay open. Those of all groups of a source meet in
-groups of the next round, and so on; a round leaves 2 of ``GROUP``. In the last round at most two documents of a source are
-open: the landing problem, settled by the choice nearest to the source's target.
-
-Scale: a source may hold any share of the rows, since its groups are dealt by a hash of the document. Rows carry only
-id, source and size. Each round is written, so a lost executor repeats a part of one round. Random numbers and the
+extra copies, sum of their words), which changes neither sum, until documents reach 0 or 1. The ``LARGEST`` documents of a group are
+settled first, for the sum of words alone, each along a direction that all other open ones share, so that what stays open is small. Then
+three documents have a direction that keeps both sums, and each move settles at least one of them, so at most two of a group stay
+open. Those of all groups of a source meet in groups of the next round, and so on; a round leaves 2 of ``GROUP``. In the last round
+at most two documents of a source are open: the landing problem. Their words are moved from one to the other, and the last
+one goes to the side that its probability is nearer to, so that a source misses its target by half of that document at most.
+
+Scale: a source may hold any share of the rows, since its groups are dealt by a hash of the document and, of repeated rows, their
+number. Rows carry only id, source and size. Targets are solved over one row a source, in one task: right for millions of sources. Each round is written, so a lost executor repeats a part of one round. Random numbers and the
 order inside a group come from hashes of the rows: reruns agree.
 
 Defined results: null text has size 0; all rows of a null source are one source; a source of size 0 has target 0 and its
@@ -29,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.llm.common import WORDS, whole_text
+from pairloom.operators.skew import SLICE_ROWS
 from pairloom.session import materialize
 
 #: No source, and no document, is taken more often than this.
 MOST = 3
 #: Documents that one flight settles together.
 GROUP = 4096
+#: Documents of a group that are settled one by one before the others, the largest first.
+LARGEST = 256
 SETTLED = 1e-9
 
 
@@ -99,25 +104,61 @@ def fly(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return p
 
 
-def land(p: np.ndarray, size: np.ndarray, missing: float) -> np.ndarray:
-    """Settles the last open places of a source so that the words come as near as can be; ``missing``: words still due."""
-    p, open_ = p.copy(), [i for i in range(len(p)) if 0 < p[i] < 1]
-    choices = [[(m >> k) & 1 for k in range(len(open_))] for m in range(1 << len(open_))]
-    want = missing if missing == missing else float(sum(p[i] * size[i] for i in open_))
-    best = min(choices, key=lambda c: (abs(sum(x * size[i] for x, i in zip(c, open_, strict=True)) - want), sum(c)))
-    for x, i in zip(best, open_, strict=True):
-        p[i] = x
+def settle_largest(p: np.ndarray, size: np.ndarray, draws: np.ndarray, largest: int) -> np.ndarray:
+    """Moves the ``largest`` documents of a group to 0 or 1, one after the other, with the sum of ``p * size`` kept.
+
+    A large document can only be weighed up by many smaller ones, so its step spreads over all open ones, in proportion to the words
+    that each has room for. It stops where no other is open.
+    """
+    p, used = p.copy(), 0
+    for i in np.argsort(-size, kind="stable")[:largest].tolist():
+        while SETTLED < p[i] < 1 - SETTLED:
+            room = np.where((p > SETTLED) & (p < 1 - SETTLED), p * (1 - p) * size, 0.0)
+            room[i] = 0
+            if not size[i] or not room.any():
+                break
+            u = -room * size[i] / (room * size).sum()
+            u[i] = 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - p) / u, np.where(u < 0, -p / u, np.inf)).min()
+                down = np.where(u > 0, p / u, np.where(u < 0, (p - 1) / u, np.inf)).min()
+            p += (up if draws[used % len(draws)] * (up + down) < down else -down) * u
+            used += 1
+            p[p <= SETTLED] = 0
+            p[p >= 1 - SETTLED] = 1
     return p
 
 
+def land(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Settles the last open places of a source: two with their sum of words kept, until the last goes to the nearer side."""
+    p, used = p.copy(), 0
+    open_ = [i for i in range(len(p)) if SETTLED < p[i] < 1 - SETTLED]
+    while len(open_) > 1 and size[open_[0]] * size[open_[1]] > 0:
+        i, j = open_[:2]
+        u, v = size[j], size[i]  # words that i gains j loses
+        up, down = min((1 - p[i]) / u, p[j] / v), min(p[i] / u, (1 - p[j]) / v)
+        move = up if draws[used % len(draws)] * (up + down) < down else -down
+        used += 1
+        p[i] += move * u
+        p[j] -= move * v
+        nearest = min((i, j), key=lambda x: min(p[x], 1 - p[x]))
+        p[nearest] = round(p[nearest])
+        open_ = [x for x in open_ if SETTLED < p[x] < 1 - SETTLED]
+    for i in open_:
+        if not size[i] or abs(p[i] - 0.5) < SETTLED:  # both sides are as near
+            p[i] = float(draws[used % len(draws)] < p[i])
+            used += 1
+    return np.round(p)
+
+
 def _settle(last: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("mix", "ascending")])  # small documents are open last
+        table = table.sort_by([("size", "descending"), ("mix", "ascending")])
         p, size = table["p"].to_numpy(), table["size"].to_numpy().astype(float)
-        seed = zlib.crc32(repr((table["source"][0].as_py(), table["part"][0].as_py(), len(table))).encode())
-        new = fly(p, size, np.random.default_rng(seed).random(len(p) + 1))
+        rng = np.random.default_rng(zlib.crc32(repr((table["source"][0].as_py(), table["part"][0].as_py(), len(table))).encode()))
+        new = fly(settle_largest(p, size, rng.random(len(p) + 1), LARGEST), size, rng.random(len(p) + 1))
         if last:
-            new = land(new, size, float("nan"))
+            new = land(new, size, rng.random(4))
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(new))
 
     return run
@@ -126,12 +167,16 @@ def _settle(last: bool):
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """One row a document: ``id, source, size, source_size, target, copies``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(whole_text(text_col)).alias("size"))
-    rows = materialize(rows, "mix_sizes")
+    # repeated rows get numbers, so that they are dealt apart; in slices, as a row may be repeated any number of times
+    rows = rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / SLICE_ROWS))))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.least(F.col("rows") - F.col("slice") * SLICE_ROWS, F.lit(SLICE_ROWS)))))
+    rows = materialize(rows.select("id", "source", "size", (F.col("nth") + F.col("slice") * SLICE_ROWS).alias("nth")), "mix_sizes")
     by = materialize(targets(rows), "mix_targets")
     ratio = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST))))
     by = by.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.floor("ratio"))
     rows = rows.join(by.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "ratio")
-    rows = rows.withColumn("mix", F.xxhash64("id", "size"))
+    rows = rows.withColumn("mix", F.xxhash64("id", "size", "nth"))
     most = by.agg(F.max("docs")).first()[0] or 0
     settled, left = None, rows.withColumn("open", F.col("docs"))
     while True:

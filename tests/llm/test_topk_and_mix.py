@@ -101,8 +101,37 @@ def test_flight_keeps_both_sums():
     new = cube_mix.fly(p, size, rng.random(600))
     assert ((new > 0) & (new < 1)).sum() <= 2
     assert abs(new.sum() - p.sum()) < 1e-6 and abs((new * size).sum() - (p * size).sum()) < 1e-3
-    mean = np.mean([cube_mix.land(cube_mix.fly(p[:20], size[:20], np.random.default_rng(i).random(30)), size[:20], float("nan")) for i in range(800)], axis=0)
-    assert np.abs(mean - p[:20]).max() < 0.15
+    large = cube_mix.settle_largest(p, size, rng.random(600), 40)
+    assert np.isin(large[np.argsort(-size)[:40]], (0, 1)).all()
+    assert abs((large * size).sum() - (p * size).sum()) < 1e-3
+
+    def settled(i, largest):
+        own = np.random.default_rng(i)
+        flown = cube_mix.fly(cube_mix.settle_largest(p[:20], size[:20], own.random(30), largest), size[:20], own.random(30))
+        out = cube_mix.land(flown, size[:20], own.random(4))
+        assert np.isin(out, (0, 1)).all()
+        return out
+
+    for largest in (0, 20):
+        mean = np.mean([settled(i, largest) for i in range(800)], axis=0)
+        assert np.abs(mean - p[:20]).max() < 0.08
+
+
+def test_every_source_comes_near_its_target(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = cube_mix.mix(docs).collect()
+    off, sizes = defaultdict(float), defaultdict(list)
+    for r in rows:
+        off[r.source] += r["size"] * r.copies - r.target / sum(1 for x in rows if x.source == r.source)
+        sizes[r.source].append(r["size"])
+    assert all(abs(off[s]) <= max(sizes[s]) / 2 for s in off)
+    assert np.mean([abs(off[s]) / np.median(sizes[s]) for s in off]) < 0.5
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same words here' as text", "if(id < 2500, 'a', 'b') as source")
+    rows = check_mix(docs, 4)
+    assert len(rows) == 3000
 
 
 def test_large_queries_are_scored_in_whole_numbers():
