@@ -123,20 +123,62 @@ select title_original, item_id,
 from y"""
 
 
-def _features(pairs: str, sides: str = SIDES) -> str:
-    """CTEs up to ``f``: feature pairs over (sup_id, m_id) pairs, Jaro in the place of the ratio."""
+def _features(pairs: str, sides: str = SIDES, ratio: bool = False) -> str:
+    """CTEs up to ``f``: feature pairs over (sup_id, m_id) pairs, with the token-set ratio or Jaro in its place."""
     ctes, last = _cascade("s", "title", False)
+    lev = "lev" if ratio else JARO
+    scored = f"""{_token_set_ratio('(select title, mas_title from ids join s using (sup_id) join m using (m_id))')},
+jl as (select * from j join lev using (title, mas_title))""" if ratio else "jl as (select * from j)"
     return f"""{sides}, {pairs},
 {ctes},
-j as (select c.sup_id, m.m_id, c.title, m.mas_title, c.default_price_cents, m.mas_dpc, m.mas_size, m.p_id, m.cp_id,
+j as (select c.sup_id, c.size as raw_size, c.unit, c.pieces as raw_pieces, c.pieces_count as raw_count, m.m_id, c.title, m.mas_title, c.default_price_cents, m.mas_dpc, m.mas_size, m.p_id, m.cp_id,
              coalesce(cast(replace(c.size, ',', '') as double), 0) as num, {EANS} as eans, {MERGED} as merged
       from ids join {last} c using (sup_id) join m using (m_id)),
-f as (select sup_id, m_id, title, mas_title, p_id, cp_id, split_part(title, ' ', 1) as brand,
-             round(0.7 * {JARO} + 0.3 * {_winkler(JARO, 'title', 'mas_title')}, 9) as wg_sim_score,
+{scored},
+f as (select sup_id, m_id, unit, raw_size, raw_pieces, raw_count, title, mas_title, p_id, cp_id, split_part(title, ' ', 1) as brand,
+             round(0.7 * {lev} + 0.3 * {_winkler(JARO, 'title', 'mas_title')}, 9) as wg_sim_score,
              abs(mas_dpc - default_price_cents) as price_diff,
              cast(len(list_intersect(merged, eans)) as int) as common_eans,
              case when len(list_intersect(merged, eans)) > 0 then 1 else 0 end as ean_match_flag,
-             abs(mas_size - num) as size_diff from j)"""
+             abs(mas_size - num) as size_diff from jl)"""
+
+
+_WORD_SET = "list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_]', ' ', 'g'), '\\s+'), lambda w: w <> '')))"
+_BITS = "list_sum(list_transform(range(len(x)), lambda i: case when x[i + 1] = c then 1::hugeint << i else 0::hugeint end))::hugeint"
+_STEP = "(({0} + ({0} & {1})) | ({0} - ({0} & {1}))) & ((1::hugeint << len(x)) - 1)"
+
+
+def _ratio(common: str, a: str, b: str) -> str:
+    return f"round_even(200 * ({common})::double / (len({a}) + len({b})), 0)"
+
+
+def _token_set_ratio(pairs: str) -> str:
+    """CTEs up to ``lev``: (title, mas_title, lev) of the distinct title pairs of ``pairs``.
+
+    The common subsequence of the longer two strings is a reduction over the second one's characters; a row of bits per character
+    of the first one is the state.
+    """
+    return f"""l0 as (select distinct title, mas_title from {pairs}),
+l1 as (select *, {_WORD_SET.format('title')} as a, {_WORD_SET.format('mas_title')} as b from l0),
+l2 as (select *, list_filter(a, lambda w: list_contains(b, w)) as c from l1),
+l3 as (select *, array_to_string(c, ' ') as s, trim(array_to_string(list_concat(c, list_filter(a, lambda w: not list_contains(c, w))), ' ')) as x,
+              trim(array_to_string(list_concat(c, list_filter(b, lambda w: not list_contains(c, w))), ' ')) as y from l2),
+l4 as (select *, list_transform(string_split(y, ''), lambda c: {_BITS}) as masks from l3),
+l5 as (select *, len(x) - bit_count(list_reduce(list_prepend((1::hugeint << len(x)) - 1, masks), lambda r, m: {_STEP.format('r', 'm')})) as n from l4),
+lev as (select title, mas_title, case when len(a) = 0 or len(b) = 0 then 0.0::double
+               else greatest({_ratio('len(s)', 's', 'x')}, {_ratio('len(s)', 's', 'y')}, {_ratio('n', 'x', 'y')}) / 100 end as lev from l5)"""
+
+
+_DAMERAU = f"""with recursive {PAIRS},
+d as (select title as a, mas_title as b, 0 as i, null::bigint[] as before, range(0, len(mas_title) + 1) as above
+      from (select distinct title, mas_title from p)
+      union all
+      select a, b, i + 1, above, list_transform(range(1, len(b) + 2), lambda j: list_min(steps[1:j]) + j) from (
+        select *, list_transform(range(0, len(b) + 1), lambda j: least(
+          above[j + 1] + 1, case when j > 0 then above[j] + case when a[i + 1] = b[j] then 0 else 1 end end,
+          case when j > 1 and i > 0 and a[i + 1] = b[j - 1] and a[i] = b[j] then before[j - 1] + 1 end) - j - 1) as steps from d where i < len(a))),
+e as (select a, b, above[len(b) + 1] / greatest(len(a), len(b)) as dlev from d where i = len(a))
+select sup_id, m_id, round(dlev, 6) as dlev from p join e on p.title = e.a and p.mas_title = e.b"""
 
 
 BLOCK_IDS = f"ids as (select s.sup_id, m.m_id from s join m on {_keys(views.PAIR_KEYS)})"
@@ -242,6 +284,8 @@ select sup_id, m_id, round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6)
         "sim_jaro_winkler": _scores(f"round({JARO}, 6) as jaro, round({_winkler(JARO, 'title', 'mas_title')}, 6) as jwrink"),
         "sim_hamming": _scores("""round(1 - len(list_filter(range(1, greatest(length(title), length(mas_title)) + 1),
   lambda i: substr(title, i, 1) <> substr(mas_title, i, 1))) / greatest(length(title), length(mas_title)), 6) as hamm"""),
+        "sim_token_set_ratio": f"with {PAIRS}, {_token_set_ratio('p')}\nselect sup_id, m_id, round(lev, 6) as lev from p join lev using (title, mas_title)",
+        "sim_damerau": _DAMERAU,
         "sim_monge_elkan": _MONGE,
         "sim_soft_tfidf": _SOFT,
         "title_mine": _mined(False),
@@ -270,6 +314,11 @@ select sup_id, m_id, round(best, 6) as wg_sim_score_max,
        array_to_string(list_transform(price_knn, lambda x: cast(x as bigint)), '|') as price_knn from g join k using (sup_id)""",
         "automatch_top3": _automatch("wg_sim_score >= 0.8 and ean_match_flag = 1", FEATURES),
         "match_rule_jaro": _automatch("wg_sim_score = best", _features("ids as (select sup_id, m_id from topk)", f"{SIDES}, {TFIDF}")),
+        "match_rule": _automatch("wg_sim_score = best", _features("ids as (select sup_id, m_id from topk)", f"{SIDES}, {TFIDF}", ratio=True)),
+        "feature_pipeline": f"""with {_features(BLOCK_IDS, ratio=True)}
+select sup_id, m_id, brand, coalesce(cast(replace(raw_size, ',', '') as double), 0) as size, unit, coalesce(cast(raw_pieces as double), 0) as pieces,
+       coalesce(cast(raw_count as double), 0) as pieces_count, round(wg_sim_score, 6) as wg_sim_score, round(price_diff, 6) as price_diff, ean_match_flag,
+       round(size_diff, 6) as size_diff from f""",
         "synthetic_pairs": _SYNTHETIC,
         "standardise_features": f"with {FEATURES}\nselect sup_id, m_id, " + ", ".join(
             f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as z_{c}" for c in _Z) + " from f",

@@ -412,6 +412,8 @@ def match_rule(spark, sf_dir):
     """The whole rule-based job with the scores its rule reads: best three matches of every item."""
     found = matching.feature_pairs(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir),
                                    names=["jwrink", "lev"]).select(*MATCH_COLUMNS)
+    # equal scores tie, whatever the last bits of their sums
+    found = found.withColumn("wg_sim_score", F.round("wg_sim_score", 9))
     return matching.match(found, matching.RULE_BASED)[matching.RULE_BASED][1]
 
 
