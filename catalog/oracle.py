@@ -181,6 +181,23 @@ e as (select a, b, above[len(b) + 1] / greatest(len(a), len(b)) as dlev from d w
 select sup_id, m_id, round(dlev, 6) as dlev from p join e on p.title = e.a and p.mas_title = e.b"""
 
 
+# Blocks that two titles share: the longest run of equal characters (first in the left title, then in the right one) splits both, and so on.
+_RATCLIFF = f"""with recursive {PAIRS},
+t as (select distinct title as a, mas_title as b from p),
+c as (select a, b, i, unnest(range(0, len(b))) as j from (select a, b, unnest(range(0, len(a))) as i from t)),
+e as (select a, b, i, j, least(len(a) - i, len(b) - j) as most from c where a[i + 1] = b[j + 1]),
+run as (select a, b, i, j, coalesce(list_position(list_transform(range(1, most + 1), lambda k: a[i + k] = b[j + k]), false) - 1, most) as n from e),
+open_ as (select a, b, 0::bigint as i0, len(a)::bigint as i1, 0::bigint as j0, len(b)::bigint as j1, 0::bigint as n from t
+  union all
+  select a, b, case when k = 0 then i0 else i + n end, case when k = 0 then i else i1 end, case when k = 0 then j0 else j + n end, case when k = 0 then j else j1 end,
+         case when k = 0 then n else 0 end
+  from (select o.a, o.b, i0, i1, j0, j1, r.i, r.j, least(r.n, i1 - r.i, j1 - r.j) as n, unnest([0, 1]) as k
+        from open_ o join run r on r.a = o.a and r.b = o.b and r.i >= i0 and r.i < i1 and r.j >= j0 and r.j < j1
+        qualify row_number() over (partition by o.a, o.b, i0, i1, j0, j1 order by least(r.n, i1 - r.i, j1 - r.j) desc, r.i, r.j) = 1)),
+f as (select a, b, 2 * sum(n) / (len(a) + len(b)) as ratcliff from open_ group by a, b)
+select sup_id, m_id, round(ratcliff, 6) as ratcliff from p join f on p.title = f.a and p.mas_title = f.b"""
+
+
 BLOCK_IDS = f"ids as (select s.sup_id, m.m_id from s join m on {_keys(views.PAIR_KEYS)})"
 FEATURES = _features(BLOCK_IDS)
 KNN = ("k as (select sup_id, list(price_diff order by price_diff) as price_knn from "
@@ -252,6 +269,24 @@ select p.m_id, cast(g.iteration as int), p.mas_cat_id, g.title, g.default_price_
                  and p.sup_cat_id = g.sup_cat_id then 1 else 0 end
 from places p join givers g on p.mas_cat_id = g.mas_cat_id and p.r = g.r"""
 
+def _training() -> str:
+    """The synthetic pairs with scores and features; missing numbers stay missing."""
+    ctes, last = _cascade("(select distinct title from y)", "title", False)
+    return f"""with m0 as ({views.MASTER_ITEMS}), y as ({_SYNTHETIC}), {ctes},
+yp as (select y.*, mas_title, mas_dpc, mas_size, {MERGED} as merged from y join m0 using (m_id)),
+{_token_set_ratio('yp')},
+z as (select yp.*, lev.lev, cast(replace(c.size, ',', '') as double) as num, {EANS.replace('eans', 'yp.eans')} as list
+      from yp join lev using (title, mas_title) join {last} c using (title))
+select m_id, iteration, round(0.7 * lev + 0.3 * {_winkler(JARO, 'title', 'mas_title')}, 6) as wg_sim_score, abs(mas_dpc - default_price_cents) as price_diff,
+       case when len(list_intersect(merged, list)) > 0 then 1 else 0 end as ean_match_flag, abs(mas_size - num) as size_diff, match from z"""
+
+
+def _all_scores(texts: dict[str, str]) -> str:
+    """All ten scores: the queries of one or two scores each, joined."""
+    names = ["sim_jaro_winkler", "sim_token_set_ratio", "sim_damerau", "sim_ratcliff", "sim_hamming", "sim_token_set", "sim_monge_elkan", "sim_soft_tfidf"]
+    return "with " + ",\n".join(f"{n} as ({texts[n]})" for n in names) + f"\nselect * from {names[0]}" + "".join(f" join {n} using (sup_id, m_id)" for n in names[1:])
+
+
 _Z = ["wg_sim_score", "price_diff", "ean_match_flag", "size_diff"]
 _LABELS = "l as (select quality as y_true, toxic as y_pred from labels)"
 _CELLS = """c as (select count(*) filter (y_true = 1 and y_pred = 1) as tp, count(*) filter (y_pred = 1) as pp,
@@ -263,6 +298,11 @@ def _share(part: str, whole: str) -> str:
 
 
 def texts() -> dict[str, str]:
+    found = _texts()
+    return found | {"sim_all": _all_scores(found), "training_set": _training(), "latest_training": _training()}
+
+
+def _texts() -> dict[str, str]:
     norm_m = NORM.format("mas_title")
     return {
         "ngrams": f"""with {SIDES}, d as (select {norm_m} as norm, min(m_id) as rep, count(*) as n_rows from m group by 1)
@@ -286,6 +326,7 @@ select sup_id, m_id, round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6)
   lambda i: substr(title, i, 1) <> substr(mas_title, i, 1))) / greatest(length(title), length(mas_title)), 6) as hamm"""),
         "sim_token_set_ratio": f"with {PAIRS}, {_token_set_ratio('p')}\nselect sup_id, m_id, round(lev, 6) as lev from p join lev using (title, mas_title)",
         "sim_damerau": _DAMERAU,
+        "sim_ratcliff": _RATCLIFF,
         "sim_monge_elkan": _MONGE,
         "sim_soft_tfidf": _SOFT,
         "title_mine": _mined(False),

@@ -177,8 +177,7 @@ def sim_ratcliff(spark, sf_dir):
 
 @query
 def sim_all(spark, sf_dir):
-    pairs = block_pairs(spark, sf_dir).select("sup_id", "m_id", "title", "mas_title")
-    return scoring.score_pairs(pairs).drop("title", "mas_title")
+    return pair_scores(spark, sf_dir, fv.SCORE_COLUMNS)
 
 
 # -- titles ---------------------------------------------------------------------------------------
@@ -337,7 +336,7 @@ def eval_report(spark, sf_dir):
 
 @query
 def training_set(spark, sf_dir):
-    return training_rows(spark, sf_dir)
+    return training_rows(spark, sf_dir).withColumn("wg_sim_score", F.round("wg_sim_score", DIGITS))
 
 
 @query
@@ -372,7 +371,7 @@ def ml_predict(spark, sf_dir):
 def latest_training(spark, sf_dir):
     folder = new_folder(spark, "training_data")
     writers.write_training(training_rows(spark, sf_dir), folder)
-    return readers.read_latest_training(spark, folder)
+    return readers.read_latest_training(spark, folder).withColumn("wg_sim_score", F.round("wg_sim_score", DIGITS))
 
 
 @query

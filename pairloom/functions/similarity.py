@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from difflib import SequenceMatcher
 from functools import lru_cache
 from math import sqrt
 
@@ -157,9 +156,31 @@ def normalised_distance(a: str, b: str) -> float:
     return alignment_distance(a, b) / longest if longest else 0.0
 
 
+def longest_block(a: str, b: str, left: tuple[int, int], right: tuple[int, int]) -> tuple[int, int, int]:
+    """Start in ``a``, start in ``b`` and length of the longest common block of two ranges, the first one of several.
+
+    A block is only tried where it would be longer than the best so far, so few strings are looked up.
+    """
+    best = 0, 0, 0
+    for i in range(*left):
+        while i + best[2] < left[1]:
+            j = b.find(a[i:i + best[2] + 1], *right)
+            if j < 0:
+                break
+            best = i, j, best[2] + 1
+    return best
+
+
 def gestalt(a: str, b: str) -> float:
-    """Ratcliff/Obershelp similarity (SIM5)."""
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    """Ratcliff/Obershelp similarity (SIM5): the longest common block, then the same on both of its sides."""
+    matched, open_ = 0, [((0, len(a)), (0, len(b)))]
+    while open_:
+        left, right = open_.pop()
+        i, j, n = longest_block(a, b, left, right)
+        if n:
+            matched += n
+            open_ += [((left[0], i), (right[0], j)), ((i + n, left[1]), (j + n, right[1]))]
+    return 2 * matched / (len(a) + len(b)) if a or b else 1.0
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:

@@ -1,5 +1,7 @@
 """Golden values of the similarity helpers, and their agreement with plain definitions."""
 
+from difflib import SequenceMatcher
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +47,12 @@ def test_bit_parallel_helpers_equal_the_tables(a, b):
     assert sim.common_subsequence(a, b) == plain_subsequence(a, b)
 
 
+@given(st.text("ab ", max_size=14), st.text("ab ", max_size=14))
+@settings(max_examples=500, deadline=None)
+def test_gestalt_equals_the_matching_blocks(a, b):
+    assert sim.gestalt(a, b) == pytest.approx(SequenceMatcher(None, a, b, autojunk=False).ratio())
+
+
 @given(SHORT, SHORT)
 @settings(max_examples=300, deadline=None)
 def test_bounds_and_symmetry(a, b):
