@@ -11,8 +11,8 @@ Inside a chunk the same argument lets distinct words be encoded once.
 Chunks are shared within a task, not over the network: tokens of the whole corpus weigh more than its text, and to
 move them costs more than the few per cent of chunks that other tasks encode as well. No step shuffles.
 
-Memory: both caches are emptied when they reach a fixed size, and texts are taken in slices of a few MB (a longer text
-alone). Recovery: a task depends on its input rows only.
+Memory: both caches keep two generations of a fixed size, what is in use and what was before it; texts are taken in slices
+of a few MB (a longer text alone). Recovery: a task depends on its input rows only.
 
 Defined results: null text is empty text; empty text gives no ids and the empty string. Repeated rows are encoded each.
 Columns other than the text pass through; the new columns get underscores where a name is taken.
@@ -35,8 +35,9 @@ WINDOW = 16
 CUT_BITS = 9
 LEAST_CHUNK = 64
 SLICE_BYTES = 2 << 20
-CACHED_WORDS = 100_000
-CACHED_CHUNK_BYTES = 2 << 20
+#: Of one generation each.
+CACHED_WORDS = 150_000
+CACHED_CHUNK_BYTES = 4 << 20
 LONGEST_CACHED_WORD = 64
 
 
@@ -78,15 +79,24 @@ class ChunkCoder:
         self.tokenizer.no_padding()
         check_tokenizer(self.tokenizer)
         self.table = gear_table()
+        # two generations: what is used moves up, and the older one goes when the younger is full
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes] | None] = {}
+        self.old_words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks: dict[bytes, tuple[bytes, list, bytes, bool]] = {}
+        self.old_chunks: dict[bytes, tuple[bytes, list, bytes, bool]] = {}
         self.chunk_bytes = self.made = self.reused = 0
 
     def learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """Encode the words that aren't known: ids as little-endian bytes, and the decoded text with a blank after it."""
         if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
+            self.old_words, self.words = self.words, {}
+        new = []
+        for w in words:
+            if w not in self.words:
+                if (known := self.old_words.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.words[w] = known
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         ids = [x.ids for x in found]
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -98,7 +108,7 @@ class ChunkCoder:
     def code(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """The ids and the decoded text of each text, as bytes."""
         if self.chunk_bytes > CACHED_CHUNK_BYTES:
-            self.chunks, self.chunk_bytes = {}, 0
+            self.old_chunks, self.chunks, self.chunk_bytes = self.chunks, {}, 0
         plans, need = self._plan(texts)
         long = self.learn(need)
         at = (lambda w: self.words.get(w) or long[w]) if long else self.words.__getitem__
@@ -133,10 +143,14 @@ class ChunkCoder:
                 last = cut
                 part = self.chunks.get(chunk)
                 if part is None:
-                    part = self._split(chunk, need)
+                    part = self.old_chunks.get(chunk)
+                    if part is None:
+                        part = self._split(chunk, need)
+                        self.made += 1
+                    else:
+                        self.reused += 1
                     self.chunks[chunk] = part
                     self.chunk_bytes += len(chunk)
-                    self.made += 1
                 else:
                     self.reused += 1
                 head, inner, tail, open_ = part

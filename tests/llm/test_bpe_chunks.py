@@ -47,6 +47,19 @@ def test_shared_chunks_are_encoded_once_and_joins_repaired(tokenizer):
     assert coder.reused > coder.made
 
 
+def test_what_is_used_stays_cached(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe_chunks, "CACHED_WORDS", 50)
+    monkeypatch.setattr(bpe_chunks, "CACHED_CHUNK_BYTES", 3000)
+    coder = bpe_chunks.ChunkCoder(queries.word_bpe_path())
+    often = " ".join(f"common{i}" for i in range(30))
+    for n in range(40):
+        text = f"{often} rare{n} {often} {' '.join(f'own{n}x{i}' for i in range(40))}"
+        ids, decoded = coder.code([text.encode()])
+        assert (ids[0], decoded[0].decode()) == plain(tokenizer, text)
+        assert b"common7" in coder.words or b"common7" in coder.old_words
+        assert len(coder.words) <= 50 + 100 and len(coder.old_words) <= 50 + 100
+
+
 def test_other_tokenizers_are_refused():
     import public_tokenizers
 
