@@ -158,25 +158,21 @@ class Counted:
             self.keep3 = triples.holds(self.h3)
 
     def rows(self) -> list[pa.Array]:
-        """lang, a, b, c, n of what the sketches let through, and a row without words for each language's tokens."""
+        """``gram`` (the words, a line end, the language) and ``n`` of what the sketches let through; without words: all tokens."""
         one = np.flatnonzero(self.keep1)
         two = np.flatnonzero(self.keep2)
         three, third = np.divmod(self.triples[self.keep3], max(len(self.unigrams), 1))
         names = pa.array([str(x) for x in self.langs], pa.string())
+        first, second = self.first, self.second
 
         def words(of: np.ndarray) -> pa.Array:
             return self.known.take(pa.array(self.word[of])).cast(pa.string())
 
-        def nothing(n: int) -> pa.Array:
-            return pa.nulls(n, pa.string())
-
-        first, second = self.first, self.second
+        grams = [pa.array([""] * len(names), pa.string()), words(one), pc.binary_join_element_wise(words(first[two]), words(second[two]), " "),
+                 pc.binary_join_element_wise(words(first[three]), words(second[three]), words(third), " ")]
         lang = np.concatenate((np.arange(len(names)), self.lang[one], self.lang[first[two]], self.lang[third]))
-        a = [nothing(len(names)), words(one), words(first[two]), words(first[three])]
-        b = [nothing(len(names) + len(one)), words(second[two]), words(second[three])]
-        c = [nothing(len(names) + len(one) + len(two)), words(third)]
         n = np.concatenate((self.tokens, self.n1[one], self.n2[two], self.n3[self.keep3]))
-        return [names.take(pa.array(lang)), *[pa.concat_arrays(x) for x in (a, b, c)], pa.array(n.astype(np.int64))]
+        return [pc.binary_join_element_wise(pa.concat_arrays(grams), names.take(pa.array(lang)), "\n"), pa.array(n.astype(np.int64))]
 
 
 def _scan(docs: DataFrame, columns: str, made) -> DataFrame:
@@ -211,8 +207,13 @@ def counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS, lang_co
     def phrases(texts: list[bytes], langs: list[str], all_: tuple = tuple(sketches)) -> list[pa.Array]:
         return Counted(texts, langs, *[Sketch(bits, x.value) for x in all_]).rows()
 
-    summed = _scan(rows, _STREAM, phrases).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
-    out = materialize(summed.where((F.col("n") >= least) | F.col("a").isNull()), "phrase_counts")
+    summed = _scan(rows, "gram string, n bigint", phrases).groupBy("gram").agg(F.sum("n").alias("n"))
+    end = F.instr("gram", "\n")  # no word holds a line end, or a blank
+    said, lang = F.substring("gram", F.lit(1), end - 1), F.substring("gram", end + 1, F.length("gram"))
+    summed = summed.where((F.col("n") >= least) | F.startswith("gram", F.lit("\n")))
+    word = F.split(said, " ")
+    words = [F.when(said != "", word[0]).alias("a"), F.get(word, F.lit(1)).alias("b"), F.get(word, F.lit(2)).alias("c")]
+    out = materialize(summed.select(lang.alias("lang"), *words, "n"), "phrase_counts")
     for sketch in sketches:
         sketch.unpersist()
     return out
