@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.operators.boosting import BoostedTrees
 from pairloom.operators.evaluate import class_1_metrics, classification_report
 from pairloom.operators.standardise import Stats, fit_stats, scaling_stage
-from pairloom.session import scratch_root
 
 BOOSTED = "XG_Boost"
 LABEL = "match"
@@ -32,7 +31,8 @@ def split_train_test(df: DataFrame, test_share: float = fv.TEST_SHARE, seed: int
 def estimators(n_train: int, seed: int = fv.SPLIT_SEED, max_depth: int = 30, rounds: int = 100) -> dict:
     """The four classifiers by name (ML2-ML5).
 
-    The forest and the tree grow to depth 30, the deepest that Spark allows; the regression's penalty equals C = 1 over ``n_train`` rows; the boosted trees use depth 6, rate 0.3.
+    The forest and the tree grow to depth 30, the deepest that Spark allows; the regression's penalty equals C = 1 over ``n_train`` rows; the boosted trees
+    are of second order (``operators.boosting``).
     """
     columns = {"featuresCol": "features", "labelCol": LABEL}
     return {
@@ -40,7 +40,7 @@ def estimators(n_train: int, seed: int = fv.SPLIT_SEED, max_depth: int = 30, rou
         "Logistic_Regression": LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                                   standardization=False, **columns),
         "Decision_Trees": DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **columns),
-        BOOSTED: GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed, **columns),
+        BOOSTED: BoostedTrees(rounds=rounds, **columns),
     }
 
 
@@ -62,9 +62,6 @@ def train_models(training: DataFrame, keys: list[str] = (), scale_before_split:
     The scaler is fitted on the training rows; ``scale_before_split`` fits it on all rows instead.
     The prepared training rows are cached while the classifiers pass over them many times.
     """
-    context = training.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # the boosted trees cut their lineage every ten rounds
-        context.setCheckpointDir(scratch_root(training.sparkSession))
     data = training_columns(training, keys)
     train, test = split_train_test(data, keys=list(keys) or None)
     stats = fit_stats(data if scale_before_split else train, fv.MODEL_FEATURES)
