@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pairloom import fixed_values as fv
 from pairloom.functions import text as tx
 from pairloom.operators.posting_blocks import BLOCK_TITLES, SLACK, best_of, block_maxima, posting_blocks, score_blocks
-from pairloom.operators.skew import every_slice, own_slice
+from pairloom.operators.skew import every_slice, join_back, own_slice
 from pairloom.session import materialize
 
+CELL_ROWS = 1024  # rows of either side in a cell of a hot block's pairs
 TAIL = 0.5  # share of the floor that the weights left out of a bound may have as their norm
 SEED_BLOCKS = 16  # blocks that a gram brings to the search for the first blocks, those in which it weighs most
 FIRST, THEN = 1, 8  # blocks a title is scored against before its floor is known, and before it is raised
@@ -47,13 +48,35 @@ def drop_missing_titles(df: DataFrame, title: str) -> DataFrame:
 def key_blocking(supplier: DataFrame, master: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """Id pairs of all rows that agree on every key; null keys never pair (JOIN1).
 
-    A plain equi-join on purpose: a hot block has too many rows on both sides, and adaptive skew
-    handling cuts both into slices there. The number of pairs is the operator's meaning, so
-    selective (for instance several) keys are the way to keep it small.
+    The pairs of a block with more than ``CELL_ROWS ** 2`` are dealt in cells: with the sizes of both sides known, each
+    side is cut into slices of about ``CELL_ROWS`` rows, a row goes to the cells of its slice with every slice of the
+    other side, and a cell is a join key of its own. So a block of any size is spread over all tasks, whether or not
+    adaptive execution sees its skew; a row is sent once for every ``CELL_ROWS`` rows that it pairs with. Sizes are
+    counted per key before any row moves, and only keys of such blocks are looked up: each stands for more than
+    ``CELL_ROWS ** 2`` pairs of the result. The number of pairs is the operator's meaning, so selective (for instance
+    several) keys are the way to keep it small.
     """
+    names = [f"k{i}" for i in range(len(keys))]
     left = supplier.select("sup_id", *[F.col(s).alias(f"k{i}") for i, (s, _) in enumerate(keys)])
     right = master.select("m_id", *[F.col(m).alias(f"k{i}") for i, (_, m) in enumerate(keys)])
-    return left.join(right, [f"k{i}" for i in range(len(keys))]).select("sup_id", "m_id")
+    sizes = left.groupBy(names).agg(F.count("*").alias("n_left")).join(
+        right.groupBy(names).agg(F.count("*").alias("n_right")), names)
+    hot = materialize(sizes.where(F.col("n_left") * F.col("n_right") > CELL_ROWS ** 2), "hot_blocks")
+    if hot.isEmpty():  # a key is one cell: nothing to look up
+        return left.join(right, names).select("sup_id", "m_id")
+    left, right = (rows.where(" AND ".join(f"{n} IS NOT NULL" for n in names)) for rows in (left, right))
+
+    def slices(n: Column) -> Column:
+        return F.coalesce(F.ceil(n / CELL_ROWS), F.lit(1)).cast("int")
+
+    def celled(rows: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
+        rows = join_back(rows, hot, names, "left")
+        every = F.sequence(F.lit(0), slices(F.col(f"n_{other}")) - 1)
+        own_cell = F.pmod(F.xxhash64(row_id), slices(F.col(f"n_{own}"))).cast("int")
+        return rows.select(row_id, *names, own_cell.alias(f"cell_{own}"), F.explode(every).alias(f"cell_{other}"))
+
+    cells = [*names, "cell_left", "cell_right"]
+    return celled(left, "sup_id", "left", "right").join(celled(right, "m_id", "right", "left"), cells).select("sup_id", "m_id")
 
 
 def _distinct_titles(df: DataFrame, row_id: str, title: str) -> DataFrame:

@@ -94,7 +94,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _bins_of(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, width)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:][:len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view("<u2").reshape(-1, width)
 
 
 def quantile_edges(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
@@ -144,9 +145,10 @@ def level_histogram(rows: DataFrame, trees: list[Tree], tree: Tree, frontier: li
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g_sum[used]), pa.array(h_sum[used])], names=["slot", "g", "h"])
 
     parts = rows.select("bins", "y", "w", "margin").mapInArrow(run, "slot bigint, g bigint, h bigint")
+    sums = parts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
     out = np.zeros((size, 2))
-    for slot, g, h in parts.groupBy("slot").agg(F.sum("g"), F.sum("h")).collect():
-        out[slot] = g * step, h * step
+    for i, name in enumerate(("g", "h")):
+        out[sums["slot"].to_numpy(), i] = sums[name].to_numpy() * step
     return out.reshape(*shape, 2)
 
 
@@ -200,7 +202,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
                 gain, feature, cut, missing_left, *children = found
                 for child, child_sums in zip(_split(tree, node, feature, cut, missing_left, gain), children, strict=True):
                     tree["value"][child] = self._weight(child_sums)
-                    following.append(child)
+                    if child_sums[1] >= 2 * self.least_hessian:  # else no two children can have enough
+                        following.append(child)
             frontier = following
             if not frontier:
                 break

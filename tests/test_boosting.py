@@ -98,8 +98,8 @@ def test_copies_weigh_and_coarse_bins_learn(spark):
     assert max(map(len, single.content()["edges"])) <= 15
     binned = boosting.binned_rows(thrice.selectExpr("array(x0, x1) as x", "label as y"), single.content()["edges"])
     assert binned.count() <= 2 * 16 * 16 and binned.agg(F.sum("w")).first()[0] == 1200
-    found = probabilities(BoostedTrees(rounds=20).fit(rows), rows) > 0.5
-    assert (found == y).mean() > 0.97
+    found = probabilities(BoostedTrees(rounds=8).fit(rows), rows) > 0.5
+    assert (found == y).mean() > 0.95
 
 
 def test_saved_in_a_pipeline_and_degenerate_tables(spark, tmp_path):
