@@ -20,8 +20,10 @@ Columns other than the text pass through; the new columns get underscores where
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +194,25 @@ def coder(path: str) -> ChunkCoder:
     return _coders[path]
 
 
+@cache
+def _c_library():
+    return ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; workers outlive their stage, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c_library(), "malloc_trim"):  # glibc only
+        _c_library().malloc_trim(0)
+
+
+def forget_coders() -> None:
+    """Drop this worker's tokenizers and caches. Called by tasks of other operators: the encoding stage is over then."""
+    if _coders:
+        _coders.clear()
+        give_back()
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about ``size`` bytes of text each, at least one row, and their texts (null: empty)."""
     column = batch.column(column).cast(pa.binary())

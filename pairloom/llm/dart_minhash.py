@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.bpe_chunks import slices
+from pairloom.llm.bpe_chunks import forget_coders, give_back, slices
 from pairloom.llm.common import whole_text
 from pairloom.llm.components import components
 from pairloom.llm.shingles import mixed, shingle_sets
@@ -130,6 +130,7 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_coders()
         for batch in batches:
             for part, texts in slices(batch, 2, 1 << 20):
                 signature, size, a, b = signatures(texts, k, weighted)
@@ -137,6 +138,7 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
                 keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
                 columns = [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "set_a", "set_b", "bands"])
+        give_back()
 
     id_type = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"key binary, id {id_type}, size bigint, set_a bigint, set_b bigint, bands array<bigint>")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.bpe_chunks import slices
+from pairloom.llm.bpe_chunks import forget_coders, give_back, slices
 from pairloom.llm.common import free_name, id_crc, whole_text
 from pairloom.session import materialize
 
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     rows = texts.join(known.where(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_coders()
         for batch in batches:
             for part, texts in slices(batch, 0, SLICE_BYTES):
                 bag, words, sentences = bags(texts), [], []
@@ -167,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                     words.append(bag.words[cut[i] : cut[i + 1]].tolist())
                     sentences.append(bag.sentence[cut[i] : cut[i + 1]].tolist())
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(words, pa.list_(pa.int64())), pa.array(sentences, pa.list_(pa.int64()))], names=["toxic", "words", "sentences"])
+        give_back()
 
     rows = materialize(rows.mapInArrow(split, "toxic int, words array<bigint>, sentences array<bigint>"), "mil_sample")
     held = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("docs"), F.sum("toxic").alias("hits"))
@@ -210,6 +212,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = docs.limit(0).selectExpr("*", f"CAST(0 AS double) AS `{names[0]}`", f"CAST(array() AS array<struct<start: bigint, end: bigint>>) AS `{names[1]}`").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_coders()
         for batch in batches:
             for part, texts in slices(batch, at, SLICE_BYTES):
                 bag = bags(texts)
@@ -222,5 +225,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     d = bag.document[i]
                     offending[d].append({"start": int(bag.start[i] - first[d]), "end": int(min(bag.end[i] - first[d], len(texts[d])))})
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(offending, spans)], names=[*part.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(run, schema)

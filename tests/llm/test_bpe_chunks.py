@@ -74,3 +74,11 @@ def test_query(spark, sf_dir, tokenizer):
     for r in rows:
         ids, decoded = plain(tokenizer, texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_coders_are_dropped_by_other_operators():
+    from pairloom.llm import bpe_chunks
+    bpe_chunks._coders["none"] = object()
+    bpe_chunks.forget_coders()
+    assert not bpe_chunks._coders
+    bpe_chunks.give_back()
