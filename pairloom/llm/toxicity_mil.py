@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     n, positive = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not positive or positive == n:
         return Model(np.empty(0, np.int64), np.empty(0), 0.0, ((positive or 0) + 0.5) / (n + 1))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20))
+    # of all 64 bits: a share of any size is kept to, however many rows are labelled
+    limit = -(1 << 63) + (sample << 64) // n
+    chosen = F.lit(True) if n <= sample else F.xxhash64("doc_id") < F.lit(limit)
     texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).where(chosen)
     rows = texts.join(known.where(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
