@@ -102,8 +102,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Figures of formatted conversations, all from the turns that were read back."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    """Figures of formatted conversations: the turns as read back, and the formatted text under ``loss_spans``, unescaped.
+
+    A null in ``turns`` (broken grammar) counts as no turn; a span without an assistant turn is taken as it is.
+    """
+    said = F.filter("turns", lambda x: x["role"] == "assistant")
+
+    def under(span: Column, i: Column) -> Column:
+        text = F.substring(F.col("formatted"), span["start"] + 1, span["end"] - span["start"])
+        return F.when(F.get(said, i)["mark"] == "\\", unescaped(text)).otherwise(text)
+
+    loss = F.array_join(F.transform("loss_spans", under), "")
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return conversations.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),

@@ -14,6 +14,16 @@ TURNS = [
 ]
 
 
+def test_loss_digest_is_read_under_the_mask(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "a </turn> b"), (1, 2, "assistant", "plain")], "conv_id long, turn long, role string, text string")
+    made = chat_grammar.format_conversations(turns)
+    right = chat_grammar.digests(made).first()
+    assert right.loss_sha256 == hashlib.sha256(b"a </turn> bplain").hexdigest() and right.loss_chars == 16
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), (s["end"] - 1).alias("end")))
+    wrong = chat_grammar.digests(made.withColumn("loss_spans", moved)).first()
+    assert wrong.loss_sha256 != right.loss_sha256 and wrong.turns_sha256 == right.turns_sha256
+
+
 def test_round_trip_of_hostile_turns(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("taken")).repartition(4)
     want = defaultdict(list)
