@@ -1,7 +1,7 @@
 """String similarities of two columns.
 
-Hamming and the token-set measures are built-in expressions. The measures with data-dependent loops
-share one Arrow UDF, so a batch of pairs crosses to Python once.
+Hamming, Jaro, Jaro-Winkler and the token-set measures are built-in expressions. The other measures with
+data-dependent loops share one Arrow UDF, so a batch of pairs crosses to Python once.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from pairloom import fixed_values as fv
 from pairloom.functions.text import tokens
 
-PYTHON_SCORES = ["jaro", "jwrink", "lev", "dlev", "ratcliff", "melkan", "stfidf"]
+PYTHON_SCORES = ["lev", "dlev", "ratcliff", "melkan", "stfidf"]
+# stands where a character has been matched: a code point that is no character, so no text holds it
+_USED = "\U0010ffff"
 
 
 # -- built-in expressions -----------------------------------------------------------------------
@@ -49,10 +51,56 @@ def token_jaccard(left: Column, right: Column) -> Column:
     return _token_measure(left, right, lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas share no subexpressions."""
+    return F.transform(F.array(value), use)[0]
+
+
+def jaro_column(left: Column, right: Column) -> Column:
+    """Jaro similarity (SIM1): one pass over the left characters that carries what is still unused of the right text.
+
+    A character takes the first equal one within reach; that one is overwritten, and the character is put behind the
+    text. Null for a null text. The code point U+10FFFF, which no text should hold, equals nothing in a changed text.
+    """
+    def passed(n_right: Column, reach: Column) -> Column:
+        def take(state: Column, i: Column) -> Column:
+            char = F.substring(left, i, 1)
+            first = F.position(char, state, F.greatest(i - reach, F.lit(1)))
+            found = lambda at: (at > 0) & (at <= F.least(i + reach, n_right)) & (char != _USED)
+            return _let(first, lambda at: F.when(found(at), F.concat(F.overlay(state, F.lit(_USED), at, F.lit(1)), char))
+                        .otherwise(state))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(left)), F.translate(right, _USED, "\U0010fffe"), take)
+
+    def share(state: Column, n_right: Column) -> Column:
+        n_left, common = F.length(left), F.length(state) - n_right
+        in_left = F.split(F.substring(state, n_right + 1, common), "")
+        in_right = F.filter(F.zip_with(F.split(right, ""), F.split(state, ""), lambda b, s: F.when(s == _USED, b)), F.isnotnull)
+        moved = F.size(F.filter(F.zip_with(in_left, in_right, lambda a, b: a != b), lambda differs: differs))
+        return F.when(common == 0, 0.0).otherwise(
+            (common / n_left + common / n_right + (common - F.floor(moved / 2)) / common) / 3)
+
+    def measured(n_right: Column) -> Column:
+        reach = F.greatest(F.floor(F.greatest(F.length(left), n_right) / 2).cast("int") - 1, F.lit(0))
+        return _let(_let(reach, lambda r: passed(n_right, r)), lambda state: share(state, n_right))
+
+    return (F.when(left.isNull() | right.isNull(), F.lit(None).cast("double")).when(left == right, 1.0)
+            .when((F.length(left) == 0) | (F.length(right) == 0), 0.0).otherwise(_let(F.length(right), measured)))
+
+
+def with_prefix_column(score: Column, left: Column, right: Column) -> Column:
+    """Winkler's bonus for a shared prefix of up to four characters, at any score (SIM2)."""
+    prefix = F.lit(0)
+    for n in range(1, fv.JARO_WINKLER_PREFIX_LENGTH + 1):
+        same = (F.length(left) >= n) & (F.length(right) >= n) & (F.substring(left, 1, n) == F.substring(right, 1, n))
+        prefix = F.when(same, n).otherwise(prefix)
+    return score + prefix * fv.JARO_WINKLER_PREFIX_WEIGHT * (1 - score)
+
+
 # -- per-pair helpers of the Arrow UDF ----------------------------------------------------------
 
 def jaro(a: str, b: str) -> float:
-    """Jaro similarity (SIM1)."""
+    """Jaro similarity of two tokens, for SIM9 and SIM10."""
     if a == b:
         return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
@@ -73,7 +121,7 @@ def jaro(a: str, b: str) -> float:
 
 
 def with_prefix(score: float, a: str, b: str) -> float:
-    """Winkler's bonus for a shared prefix of up to four characters, at any score (SIM2)."""
+    """Winkler's bonus for a shared prefix of up to four characters, at any score."""
     prefix = 0
     for x, y in zip(a[:fv.JARO_WINKLER_PREFIX_LENGTH], b):
         if x != y:
@@ -214,10 +262,6 @@ def soft_tfidf(a: list[str], b: list[str]) -> float:
 
 
 def _measure(name: str, a: str, b: str) -> float:
-    if name == "jaro":
-        return jaro(a, b)
-    if name == "jwrink":
-        return with_prefix(jaro(a, b), a, b)
     if name == "lev":
         return token_set_ratio(a, b)
     if name == "dlev":
@@ -238,9 +282,13 @@ def python_scores(names: list[str], left: Column, right: Column) -> Column:
     return F.pandas_udf(score, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(left, right)
 
 
-def scores(names: list[str], left: Column, right: Column) -> tuple[Column | None, dict[str, Column]]:
-    """The struct of Python scores to add as column ``_scores``, and each named score as a column."""
+def scores(names: list[str], left: Column, right: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Columns to be added first, because several scores read them, and each named score as a column."""
     in_python = [n for n in PYTHON_SCORES if n in names]
-    built_in = {"hamm": hamming, "cos": token_cosine, "jacrd": token_jaccard}
-    columns = {n: F.col(f"_scores.{n}") if n in in_python else built_in[n](left, right) for n in names}
-    return (python_scores(in_python, left, right) if in_python else None), columns
+    first = {"_scores": python_scores(in_python, left, right)} if in_python else {}
+    if "jaro" in names or "jwrink" in names:
+        first["_jaro"] = jaro_column(left, right)
+    made = {"hamm": lambda: hamming(left, right), "cos": lambda: token_cosine(left, right),
+            "jacrd": lambda: token_jaccard(left, right), "jaro": lambda: F.col("_jaro"),
+            "jwrink": lambda: with_prefix_column(F.col("_jaro"), left, right)}
+    return first, {n: F.col(f"_scores.{n}") if n in in_python else made[n]() for n in names}

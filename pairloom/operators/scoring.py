@@ -18,9 +18,8 @@ def add_scores(df: DataFrame, title: str = "title", master_title: str = "mas_tit
     """Score every row as it comes; the named columns follow the given ones (SIM1-11)."""
     label = MIXED_LABELS if compat else {}
     wanted = [label.get(n, n) for n in names]
-    in_python, score = sim.scores(wanted, F.col(title), F.col(master_title))
-    work = df if in_python is None else df.withColumn("_scores", in_python)
-    return work.select(*df.columns, *[score[w].alias(n) for n, w in zip(names, wanted)])
+    first, score = sim.scores(wanted, F.col(title), F.col(master_title))
+    return df.withColumns(first).select(*df.columns, *[score[w].alias(n) for n, w in zip(names, wanted)])
 
 
 def score_pairs(pairs: DataFrame, title: str = "title", master_title: str = "mas_title",

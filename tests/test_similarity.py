@@ -1,5 +1,6 @@
 """Golden values of the similarity helpers, and their agreement with plain definitions."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -103,3 +104,24 @@ def test_mixed_labels(spark):
     for label, measure in MIXED_LABELS.items():
         assert mixed[label] == plain[measure]
     assert mixed.jaro == plain.jaro
+
+
+def test_jaro_columns_equal_the_plain_helper_without_python(spark):
+    """Random short texts, shared and moved characters, code points beyond 16 bits, empty and long texts, nulls."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcä😀 ", k=draw.randint(0, 12))) for _ in range(600)]
+    pairs = list(zip(texts[::2], texts[1::2])) + [("", ""), ("", "a"), ("MARTHA", "MARHTA"), ("ab" * 700, "ba" * 650)]
+    pairs += [(a, a[::-1]) for a in texts[:50]] + [("ab\U0010ffff", "abc")]
+    df = spark.createDataFrame(pairs + [(None, "x"), ("x", None)], "title string, mas_title string")
+    scored = add_scores(df, names=["jaro", "jwrink"])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("aggregate(") == 1
+    for row in scored.collect():
+        if row.title is None or row.mas_title is None:
+            assert row.jaro is None and row.jwrink is None
+        elif "\U0010ffff" not in row.title:
+            expected = sim.jaro(row.title, row.mas_title)
+            assert row.jaro == pytest.approx(expected, abs=1e-12), row
+            assert row.jwrink == pytest.approx(sim.with_prefix(expected, row.title, row.mas_title), abs=1e-12)
+        else:
+            assert 0 < row.jaro < 1
