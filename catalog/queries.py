@@ -409,11 +409,11 @@ def match_files(spark, sf_dir):
 @query
 def match_rule(spark, sf_dir):
     """The whole rule-based job with the scores its rule reads: best three matches of every item."""
-    found = matching.feature_pairs(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir),
-                                   names=["jwrink", "lev"]).select(*MATCH_COLUMNS)
+    supplier, master = views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir)
     # equal scores tie, whatever the last bits of their sums
-    found = found.withColumn("wg_sim_score", F.round("wg_sim_score", 9))
-    return matching.match(found, matching.RULE_BASED)[matching.RULE_BASED][1]
+    found = matching.narrow_pairs(supplier, master).withColumn("wg_sim_score", F.round("wg_sim_score", 9))
+    ruled = matching.classified(found, matching.RULE_BASED)[matching.RULE_BASED]
+    return matching.best_matches(ruled, supplier, master)
 
 
 @query
@@ -429,10 +429,10 @@ def match_both(spark, sf_dir):
     """Both methods over one written feature table; best matches with the method that found them."""
     rows = materialize(training_rows(spark, sf_dir), "training")
     fitted, _ = models.train_models(rows, training_plan.ROW_KEYS, names=[models.BOOSTED])
-    found = matching.feature_pairs(views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir),
-                                   names=["jwrink", "lev"]).select(*MATCH_COLUMNS)
-    results = matching.match(found, matching.BOTH, model=fitted[models.BOOSTED])
-    best = [best.withColumn("method", F.lit(name)) for name, (_, best) in results.items()]
+    supplier, master = views.supplier_items(spark, sf_dir), views.master_items(spark, sf_dir)
+    found = matching.classified(matching.narrow_pairs(supplier, master), matching.BOTH, model=fitted[models.BOOSTED])
+    best = [matching.best_matches(predictions, supplier, master).withColumn("method", F.lit(name))
+            for name, predictions in found.items()]
     return best[0].unionByName(best[1])
 
 

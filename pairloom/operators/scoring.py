@@ -32,3 +32,22 @@ def score_pairs(pairs: DataFrame, title: str = "title", master_title: str = "mas
     titles = pairs.select(title, master_title).where(F.col(title).isNotNull() & F.col(master_title).isNotNull()).distinct()
     scored = add_scores(titles, title, master_title, names, compat)
     return join_back(pairs, scored, [title, master_title], "left").select(*pairs.columns, *names)
+
+
+def number_titles(rows: DataFrame, id_col: str, title: str, name: str) -> DataFrame:
+    """Add ``name``: the smallest id of all rows with the same title, null where there is no title."""
+    smallest = rows.where(F.col(title).isNotNull()).groupBy(title).agg(F.min(id_col).alias(name))
+    return join_back(rows, smallest, [title], "left")
+
+
+def score_numbered(pairs: DataFrame, supplier: DataFrame, master: DataFrame, names: list[str] = fv.SCORE_COLUMNS,
+                   compat: bool = False) -> DataFrame:
+    """``score_pairs`` for pairs that carry the numbers ``s_title`` and ``m_title`` in place of titles.
+
+    Titles travel once for every distinct pair of them, to be scored; what is joined back is two numbers and the scores.
+    """
+    distinct = pairs.select("s_title", "m_title").where("s_title is not null and m_title is not null").distinct()
+    titles = (distinct.join(supplier.select(F.col("sup_id").alias("s_title"), "title"), "s_title")
+              .join(master.select(F.col("m_id").alias("m_title"), "mas_title"), "m_title"))
+    scored = add_scores(titles, names=names, compat=compat).select("s_title", "m_title", *names)
+    return join_back(pairs, scored, ["s_title", "m_title"], "left").select(*pairs.columns, *names)

@@ -7,17 +7,21 @@ from pyspark.sql import DataFrame
 
 from pairloom import fixed_values as fv
 from pairloom.operators.blocking import hybrid_blocking, tfidf_blocking
-from pairloom.operators.features import add_master_features, add_pair_features, add_supplier_features
+from pairloom.operators.features import add_master_features, add_pair_features, add_supplier_features, blanks_to_null
 from pairloom.operators.models import BOOSTED, predict
 from pairloom.operators.pairs import drop_supplier_side, rebuild_pairs
-from pairloom.operators.ranking import automatch
+from pairloom.operators.ranking import automatch, top_per_item
 from pairloom.operators.rules import classify_by_rule
-from pairloom.operators.scoring import score_pairs
+from pairloom.operators.scoring import number_titles, score_numbered, score_pairs
 from pairloom.session import materialize
 from pairloom.sources.readers import load_model, read_master, read_supplier
 from pairloom.sources.writers import write_results
 
 RULE_BASED, ML_BASED, BOTH = "rule_based", "ml_based", "both"
+# what pair features read of either side; titles are replaced by numbers
+SUPPLIER_INPUTS = ["sup_id", "s_title", "eans", "default_price_cents", "size"]
+MASTER_INPUTS = ["m_id", "m_title", "merge_eans", "mas_dpc", "mas_size"]
+NARROW = ["sup_id", "m_id", "wg_sim_score", "price_diff", "common_eans", "ean_match_flag", "size_diff"]
 
 
 def chosen_method(method: str) -> str:
@@ -44,9 +48,26 @@ def feature_pairs(supplier: DataFrame, master: DataFrame, k: int = fv.TOP_CANDID
     return add_pair_features(score_pairs(wide, names=names, compat=compat))
 
 
-def match(features: DataFrame, method: str = BOTH, rule_no: int = 3, model: PipelineModel | None = None,
-          refit: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """(predictions, best matches) per method over a feature table (PIPE1-3).
+def narrow_pairs(supplier: DataFrame, master: DataFrame, k: int = fv.TOP_CANDIDATES, tobacco: bool = False,
+                 compat: bool = False, decimal_comma: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """The columns ``NARROW`` of ``feature_pairs``: ids and what rules and models read, lazily.
+
+    No candidate carries titles: pairs are scored by the numbers of their titles, and only the two scores behind
+    ``wg_sim_score`` are computed. ``best_matches`` joins the rows of the pairs that win.
+    """
+    master = drop_supplier_side(master)
+    if pairs is None:
+        pairs = tfidf_blocking(supplier, master, k=k).select("sup_id", "m_id")
+    left = number_titles(add_supplier_features(supplier, tobacco, compat, decimal_comma), "sup_id", "title", "s_title")
+    right = number_titles(add_master_features(master, compat, decimal_comma), "m_id", "mas_title", "m_title")
+    inputs = pairs.join(left.select(SUPPLIER_INPUTS), "sup_id").join(right.select(MASTER_INPUTS), "m_id")
+    scored = score_numbered(inputs, supplier, master, ["jwrink", "lev"], compat)
+    return add_pair_features(scored).select(NARROW)
+
+
+def classified(features: DataFrame, method: str = BOTH, rule_no: int = 3, model: PipelineModel | None = None,
+               refit: bool = False) -> dict[str, DataFrame]:
+    """Predictions per method over a feature table (PIPE3).
 
     The feature table is written first: every method, and every group value of a rule, reads it again.
     """
@@ -55,25 +76,46 @@ def match(features: DataFrame, method: str = BOTH, rule_no: int = 3, model: Pipe
         raise ValueError("ml_based matching needs a model")
     features = materialize(features, "features")
     if method in (ML_BASED, BOTH):
-        predicted = predict(model, features, refit)
-        results[ML_BASED] = predicted, automatch(predicted)
+        results[ML_BASED] = predict(model, features, refit)
     if method in (RULE_BASED, BOTH):
-        ruled = classify_by_rule(features, rule_no)
-        results[RULE_BASED] = ruled, automatch(ruled)
+        results[RULE_BASED] = classify_by_rule(features, rule_no)
     return results
 
 
+def best_matches(predictions: DataFrame, supplier: DataFrame, master: DataFrame, n: int = fv.AUTOMATCH_TOP) -> DataFrame:
+    """``automatch`` of predictions over ``narrow_pairs``: pairs are ranked by ids alone, rows joined to the winners."""
+    ranked = top_per_item(predictions.where("match_pred = 1").select("sup_id", "m_id", "wg_sim_score"), n)
+    wide = rebuild_pairs(ranked, supplier, drop_supplier_side(master))
+    shown = wide.select("sup_id", "title", "mas_title", "p_id", "cp_id", "rank")
+    return blanks_to_null(shown, keep=("sup_id",)).orderBy("sup_id", "rank")
+
+
+def match(features: DataFrame, method: str = BOTH, rule_no: int = 3, model: PipelineModel | None = None,
+          refit: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(predictions, best matches) per method over a feature table with both sides' columns (PIPE1-3)."""
+    found = classified(features, method, rule_no, model, refit)
+    return {name: (predictions, automatch(predictions)) for name, predictions in found.items()}
+
+
 def run(spark, supplier_path: str, master_path: str, result_folder: str, method: str = BOTH,
         model_folder: str | None = None, rule_no: int = 3, tobacco: bool = False, compat: bool = False,
         refit: bool = False, kind: str = "csv", k: int = fv.TOP_CANDIDATES, decimal_comma: bool = False,
-        keys: list[tuple[str, str]] | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """The whole job from files to files (PIPE4); ``keys`` adds the pairs of key blocking (SET1)."""
+        keys: list[tuple[str, str]] | None = None, all_pairs: bool = True) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The whole job from files to files (PIPE4); ``keys`` adds the pairs of key blocking (SET1).
+
+    Without ``all_pairs`` the first table holds the columns ``NARROW`` and the class of every pair: no row is copied
+    for a candidate that loses.
+    """
     wanted = chosen_method(method)
     model = load_model(f"{model_folder}/{BOOSTED}") if wanted != RULE_BASED else None
     supplier, master = read_supplier(spark, supplier_path), read_master(spark, master_path)
     pairs = hybrid_blocking(supplier, drop_supplier_side(master), keys, k=k) if keys else None
-    features = feature_pairs(supplier, master, k, tobacco, compat, decimal_comma, pairs=pairs)
-    results = match(features, wanted, rule_no, model, refit)
+    if all_pairs:
+        features = feature_pairs(supplier, master, k, tobacco, compat, decimal_comma, pairs=pairs)
+        results = match(features, wanted, rule_no, model, refit)
+    else:
+        found = classified(narrow_pairs(supplier, master, k, tobacco, compat, decimal_comma, pairs), wanted, rule_no, model, refit)
+        results = {name: (predictions, best_matches(predictions, supplier, master)) for name, predictions in found.items()}
     for name, (predictions, best) in results.items():
         write_results(predictions, best, result_folder, name, kind)
     return results

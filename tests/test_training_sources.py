@@ -133,6 +133,64 @@ def test_whole_job_from_files(spark, tmp_path):
         matching.match(saved, "both")
 
 
+SUPPLIER_ODD = [(1, "Cola Dose 6x0,33 l", "99", "11"), (2, "Bier Kiste 20x0,5 l", "50", "22.0"), (3, "Cola Dose 6x0,33 l", "90", None),
+                (4, None, "5", "11"), (5, "  ", None, ""), (6, "Bier Kiste 20x0,5 l", " ", "22")]
+MASTER_ODD = [(7, "Cola Dose 0,33 l", "95", "0.33", "a", "p7", "c7", "11", "", ""), (8, "Bier 0,5 l", "50", "nan", "b", " ", "c8", "", "22", ""),
+              (9, "Cola Dose 0,33 l", "90", "0.33", "a", "p9", None, "", "", ""), (10, None, None, None, "a", "p10", "c10", "11", None, "")]
+
+
+def odd_sides(spark):
+    """Repeated, blank and missing titles and numbers; every pair a candidate."""
+    supplier = spark.createDataFrame(SUPPLIER_ODD, "sup_id long, title string, default_price_cents string, eans string")
+    master = spark.createDataFrame(
+        MASTER_ODD, "m_id long, mas_title string, mas_dpc string, mas_size string, mas_cat_id string, p_id string, cp_id string, "
+        "p_eans string, cp_eans string, cp_un_eans string")
+    pairs = spark.createDataFrame([(s[0], m[0]) for s in SUPPLIER_ODD for m in MASTER_ODD], "sup_id long, m_id long")
+    return supplier, master, pairs
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_narrow_pairs_equal_the_wide_ones(spark, compat):
+    supplier, master, pairs = odd_sides(spark)
+    wide = matching.feature_pairs(supplier, master, compat=compat, names=["jwrink", "lev"], pairs=pairs)
+    narrow = matching.narrow_pairs(supplier, master, compat=compat, pairs=pairs)
+    assert narrow.columns == matching.NARROW
+    assert sorted(map(repr, narrow.collect())) == sorted(map(repr, wide.select(*matching.NARROW).collect()))
+    for rule_no in (1, 2, 3):
+        best = matching.match(wide, "rule_based", rule_no)["rule_based"][1]
+        late = matching.best_matches(matching.classified(narrow, "rule_based", rule_no)["rule_based"], supplier, master)
+        assert late.columns == best.columns and late.collect() == best.collect() and (rule_no == 1 or late.count())
+
+
+def test_titles_are_not_shuffled_for_pairs_that_lose(spark):
+    """Scores are joined back by numbers, classes are found on the narrow table, titles come to the winners."""
+    supplier, master, pairs = odd_sides(spark)
+    narrow = matching.narrow_pairs(supplier, master, pairs=pairs)
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    back = [line for line in plan.splitlines() if "Join LeftOuter" in line and "(s_title#" in line]
+    assert len(back) == 1 and "mas_title" not in back[0]
+    found = matching.classified(narrow, "rule_based")["rule_based"]
+    assert not {"title", "mas_title", "p_id"} & set(found.columns)
+
+
+def test_job_without_all_pairs_has_the_same_best_matches(spark, tmp_path):
+    supplier, master, _ = odd_sides(spark)
+    writers.write_table(supplier, f"{tmp_path}/s.csv")
+    writers.write_table(master, f"{tmp_path}/m.csv")
+    for all_pairs, folder in ((True, "wide"), (False, "narrow")):
+        matching.run(spark, f"{tmp_path}/s.csv", f"{tmp_path}/m.csv", f"{tmp_path}/{folder}", "rule_based", all_pairs=all_pairs)
+    wide, narrow = [spark.read.csv(f"{tmp_path}/{x}/rule_based_automatch", header=True) for x in ("wide", "narrow")]
+    assert sorted(map(tuple, wide.collect()), key=repr) == sorted(map(tuple, narrow.collect()), key=repr) and wide.count()
+    saved = spark.read.csv(f"{tmp_path}/narrow/rule_based", header=True)
+    assert saved.columns == [*matching.NARROW, "wg_sim_score_max", "match_pred"]
+
+
+def test_empty_tables_give_no_matches(spark):
+    supplier, master, pairs = odd_sides(spark)
+    narrow = matching.narrow_pairs(supplier.limit(0), master, pairs=pairs)
+    assert matching.best_matches(matching.classified(narrow, "rule_based")["rule_based"], supplier, master).count() == 0
+
+
 def test_ids_do_not_depend_on_splits(spark, tmp_path):
     rows = [(f"title {i}", "1", "2", "3") for i in range(5000)]
     frame = spark.createDataFrame(rows, "mas_title string, p_eans string, cp_eans string, cp_un_eans string")
