@@ -74,6 +74,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _table_of(path: str) -> str:
+    """The name under which a bucketed table in a new folder is registered."""
+    unique, name = path.rstrip("/").split("/")[-2:]
+    return f"pairloom_{name}_{unique}"
+
+
+def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``materialize`` into buckets of one column: joins on it, however many, read the table without a shuffle.
+
+    As many buckets as shuffle partitions, so that a table which comes from a shuffle on the column is written as it lies.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    table = _table_of(path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.mode("error").format("parquet").option("path", path).bucketBy(parts, column).saveAsTable(table)
+    return spark.table(table)
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing reads any more; any other table is left as it is.
+
+    Only folders that ``new_folder`` made are touched. A frame that still reads the table fails afterwards.
+    """
+    spark = df.sparkSession
+    jvm, configured = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def bare(path: str) -> str:
+        return jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if bare(folder).startswith(f"{bare(scratch_root(spark))}/pairloom/"):
+            spark.sql(f"drop table if exists {_table_of(folder)}")
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(configured).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer splits than there are cores, over all cores; others as they are.
 
