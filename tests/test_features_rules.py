@@ -58,6 +58,18 @@ def test_rules(spark):
         rules.classify_by_rule(df, 4)
 
 
+def test_rules_over_pairs_that_are_made_again(spark):
+    """A lookup joined to a side of the pairs gives what joining it to the pairs gives; no pair is joined."""
+    df = spark.createDataFrame(PAIRS, SCHEMA)
+    sides = df.select("sup_id").distinct()
+    again = lambda lookup: df.join(sides.join(lookup, "sup_id", "left"), "sup_id")
+    for rule_no in (1, 2, 3):
+        found = rules.classify_by_rule(df, rule_no, again)
+        assert predicted(found) == predicted(rules.classify_by_rule(df, rule_no))
+    found = {r.sup_id: r.price_knn for r in rules.add_rule_features(df, again).collect()}
+    assert found == {1: [float(x) for x in range(1, 11)], 2: []}
+
+
 def test_ranking(spark):
     df = spark.createDataFrame(PAIRS, SCHEMA)
     assert [(r.m_id, r.rank) for r in top_per_item(df.where("sup_id = 1"), 3).orderBy("rank").collect()] == [
