@@ -10,8 +10,9 @@ numbers; bin 0 holds missing values, which go to the side where they gain more.
 to all trees: they are counted once, and every later pass reads the distinct ones with their weights.
 
 *Passes.* A level of a tree is one pass: each task adds its rows into a histogram by (node, feature, bin), Spark adds the tasks'
-histograms by their place, and only the sums reach the driver: nodes of the level x features x bins, whatever the rows. Margins
-are written every ``ROUNDS_A_TABLE`` rounds; between two tables a pass applies the trees since the last one.
+histograms up, and only the sums reach the driver: nodes of the level x features x bins, whatever the rows. A pass is one short
+job over kept arrays, as there are some hundred of them and the planning of a query would take longer than the pass. Margins are
+kept as well, a tree further after each tree, and written every ``ROUNDS_A_TABLE`` rounds, so that a lost executor costs no more than these.
 
 Gradients are added as whole numbers of a fixed step, so sums are the same in any order: partitioning, retries and lost executors
 change no split. Labels are 0 or 1. A table without rows can't be learned from and is refused.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
@@ -37,11 +38,15 @@ from pyspark.sql import functions as F
 
 from pairloom.session import materialize
 
-ROUNDS_A_TABLE = 10
+ROUNDS_A_TABLE = 20
+CHUNK_ROWS = 1 << 18  # rows that a task holds at a time
+DIRECT_TASKS = 64  # more tasks' histograms than this are added up in two steps
 LEAST_GAIN = 1e-6
 LEAF = -1
 
 Tree = dict[str, list]
+#: bins, labels, weights and margins of some rows
+Chunk = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def new_tree() -> Tree:
@@ -118,38 +123,72 @@ def binned_rows(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
     return rows.select("x", "y").mapInArrow(run, "bins binary, y int").groupBy("bins", "y").agg(F.count("*").alias("w"))
 
 
-def level_histogram(rows: DataFrame, trees: list[Tree], tree: Tree, frontier: list[int], width: int, depth: int, step: float) -> np.ndarray:
+def dealt_rows(table: DataFrame, width: int) -> RDD:
+    """The rows of (bins, y, w, margin) as chunks of arrays, dealt over all cores and kept."""
+    names = ["bins", "y", "w", "margin"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def chunk() -> pa.RecordBatch:
+            parts = [np.concatenate([_bins_of(b.column(0), width) for b in held])]
+            parts += [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (1, 2, 3)]
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=names)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+                yield chunk()
+                held.clear()
+        if held:
+            yield chunk()
+
+    def arrays(row) -> Chunk:
+        return (np.frombuffer(row.bins, "<u2").reshape(-1, width), np.frombuffer(row.y, np.int32),
+                np.frombuffer(row.w, np.int64), np.frombuffer(row.margin))
+
+    dealt = table.select(names).repartition(table.sparkSession.sparkContext.defaultParallelism)
+    packed = dealt.mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
+    return packed.rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def with_tree(chunks: RDD, tree: Tree) -> RDD:
+    """The same rows, kept, with the tree's weights added to their margins."""
+
+    def further(chunk: Chunk) -> Chunk:
+        bins, y, w, margin = chunk
+        return bins, y, w, margins([tree], bins, margin)
+
+    return chunks.map(further).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def level_histogram(chunks: RDD, tree: Tree, frontier: list[int], width: int, depth: int, step: float) -> np.ndarray:
     """Sums of gradients and hessians by (node of ``frontier``, feature, bin), in whole steps.
 
-    ``trees`` are those since the margins were written, ``depth`` is one more than the largest bin number.
+    ``depth`` is one more than the largest bin number.
     """
     shape = (len(frontier), width, depth)
     size = int(np.prod(shape))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_sum, h_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    def run(held: Iterator[Chunk]) -> Iterator[np.ndarray]:
+        sums = np.zeros((2, size), np.int64)
         place = np.full(len(tree["feature"]), -1)
         place[frontier] = np.arange(len(frontier))
-        for batch in batches:
-            bins = _bins_of(batch.column(0), width)
-            y, w, margin = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            p = 1 / (1 + np.exp(-margins(trees, bins, margin)))
-            g, h = (w * np.rint(v / step).astype(np.int64) for v in (p - y, p * (1 - p)))
+        for bins, y, w, margin in held:
             at = place[leaf_of(tree, bins)]
             here = at >= 0
+            at, bins, y, w, margin = (x[here] for x in (at, bins, y, w, margin))
+            p = 1 / (1 + np.exp(-margin))
+            g, h = (w * np.rint(v / step).astype(np.int64) for v in (p - y, p * (1 - p)))
             for f in range(width):
-                slot = (at[here] * width + f) * depth + bins[here, f]
-                np.add.at(g_sum, slot, g[here])
-                np.add.at(h_sum, slot, h[here])
-        used = np.flatnonzero((g_sum != 0) | (h_sum != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g_sum[used]), pa.array(h_sum[used])], names=["slot", "g", "h"])
+                slot = (at * width + f) * depth + bins[:, f]
+                np.add.at(sums[0], slot, g)
+                np.add.at(sums[1], slot, h)
+        yield sums
 
-    parts = rows.select("bins", "y", "w", "margin").mapInArrow(run, "slot bigint, g bigint, h bigint")
-    sums = parts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    out = np.zeros((size, 2))
-    for i, name in enumerate(("g", "h")):
-        out[sums["slot"].to_numpy(), i] = sums[name].to_numpy() * step
-    return out.reshape(*shape, 2)
+    parts = chunks.mapPartitions(run)
+    sums = parts.reduce(np.add) if parts.getNumPartitions() <= DIRECT_TASKS else parts.treeReduce(np.add)
+    return np.ascontiguousarray(sums.T).reshape(*shape, 2) * step
 
 
 def best_split(histogram: np.ndarray, l2: float, least_hessian: float) -> tuple[float, int, int, bool, np.ndarray, np.ndarray] | None:
@@ -187,11 +226,11 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         self.rounds, self.max_depth, self.rate, self.l2, self.bins = rounds, maxDepth, rate, l2, bins
         self.least_gain, self.least_hessian, self.base_score = leastGain, leastHessian, baseScore
 
-    def _grow(self, rows: DataFrame, trees: list[Tree], width: int, depth: int, step: float) -> Tree:
+    def _grow(self, rows: RDD, width: int, depth: int, step: float) -> Tree:
         """One tree, a pass a level."""
         tree, frontier = new_tree(), [0]
         for level in range(self.max_depth):
-            sums = level_histogram(rows, trees, tree, frontier, width, depth, step)
+            sums = level_histogram(rows, tree, frontier, width, depth, step)
             following = []
             for node, histogram in zip(frontier, sums, strict=True):
                 if level == 0:
@@ -209,6 +248,20 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
                 break
         return tree
 
+    def _more_trees(self, table: DataFrame, rounds: int, width: int, depth: int, step: float) -> list[Tree]:
+        """The next trees after the margins of the table."""
+        kept = [dealt_rows(table, width)]
+        try:
+            trees = [self._grow(kept[0], width, depth, step)]
+            while len(trees) < rounds:
+                kept.append(with_tree(kept[-1], trees[-1]))
+                trees.append(self._grow(kept[-1], width, depth, step))
+                kept.pop(0).unpersist()  # the first pass over its successor has read it
+        finally:
+            for rows in kept:
+                rows.unpersist()
+        return trees
+
     def _weight(self, sums: np.ndarray) -> float:
         g, h = sums
         return float(-g / (h + self.l2) * self.rate) if h + self.l2 > 0 else 0.0
@@ -227,11 +280,10 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         step = 2.0 ** -min(40, 62 - weight.bit_length())
         depth = 2 + max(len(e) for e in edges)
         trees: list[Tree] = []
-        written = 0
-        for _ in range(self.rounds):
-            if len(trees) - written == ROUNDS_A_TABLE:
-                table, written = materialize(with_margins(table, trees[written:], width), "boost_margins"), len(trees)
-            trees.append(self._grow(table, trees[written:], width, depth, step))
+        while len(trees) < self.rounds:
+            if trees:
+                table = materialize(with_margins(table, trees[-ROUNDS_A_TABLE:], width), "boost_margins")
+            trees += self._more_trees(table, min(ROUNDS_A_TABLE, self.rounds - len(trees)), width, depth, step)
         made = BoostedTreesModel(json.dumps({"edges": edges, "base": base, "trees": trees}))
         return made._set(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
 

@@ -114,3 +114,30 @@ def test_saved_in_a_pipeline_and_degenerate_tables(spark, tmp_path):
         BoostedTrees().fit(rows.limit(0))
     with pytest.raises(ValueError, match="bins"):
         BoostedTrees(bins=1)
+
+
+def test_a_pass_is_one_short_job(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((500, 2))
+    rows = table(spark, x, (x[:, 0] * x[:, 1] > 0.3).astype(int)).cache()
+    rows.count()
+    spark.sparkContext.setJobGroup("boost", "boost")
+    trees = BoostedTrees(rounds=6, maxDepth=4, leastHessian=0.01).fit(rows).content()["trees"]
+    spark.sparkContext.setJobGroup("after", "after")
+    assert min(len(t["feature"]) for t in trees) > 10
+    # 24 passes and a few jobs before them; a pass that was a query took two jobs or more
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boost")) <= 24 + 14
+
+
+def test_chunks_and_many_tasks_change_no_tree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.random((300, 2)), 2)
+    rows = table(spark, x, (x.sum(axis=1) + rng.random(300) > 1.5).astype(int))
+    expected = BoostedTrees(rounds=3, maxDepth=3).fit(rows).content()
+    for name, value in (("CHUNK_ROWS", 1), ("DIRECT_TASKS", 1), ("ROUNDS_A_TABLE", 1)):
+        monkeypatch.setattr(boosting, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert BoostedTrees(rounds=3, maxDepth=3).fit(rows).content() == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
