@@ -2,6 +2,8 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import corpus_pipeline
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from odd import CLASHING, documents, empty_documents, odd_documents
 from pairloom.llm import brown_lm, queries, toxicity_mil
 from pairloom.llm.cube_mix import mix
+from pairloom.session import scratch_root
 from pyspark.sql import functions as F
 from test_exact_and_near import brute_classes, brute_groups
 from test_topk_and_mix import brute_targets
@@ -48,6 +51,22 @@ def test_language_model(spark, sf_dir):
     assert sum(r.score for r in out) > 0.98 * sum(r.base_score for r in out)  # fewer digits a token on texts not seen; a small table gains less
 
 
+def test_language_model_leaves_nothing_but_its_result(spark):
+    # written tables and shuffle files of steps that are done were kept until the end
+    root = Path(urlparse(scratch_root(spark)).path) / "pairloom"
+    before = set(root.glob("*/lm_*"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 40}" for j in range(50))) for i in range(1, 60)], "doc_id long, text string")
+    assert brown_lm.score(docs, top=8).count() == 59
+    assert [x.name for x in set(root.glob("*/lm_*")) - before] == ["lm_scores"]
+
+
+def test_counts_travel_as_bytes():
+    counts = np.array([1, 254, 255, 256, 510, 511, 70_000])
+    of, n = brown_lm.in_bytes(counts)
+    assert n.dtype == np.uint8 and n.all()
+    assert np.array_equal(np.bincount(of, n), counts)
+
+
 def test_frequent_words_do_not_depend_on_blocks(spark):
     # "wide" is never among a block's most frequent words, but is so over all of them
     texts = [" ".join([*[f"own{i}x{j}" for j in range(20)] * 2, "wide"]) for i in range(6)]
