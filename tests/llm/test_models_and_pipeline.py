@@ -84,6 +84,32 @@ def test_buckets_follow_the_corpus(spark):
     assert brown_lm.bucket_count(blocks, 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_frequent_words_are_found_among_those_of_the_buckets(spark):
+    # all distinct words of all blocks were summed a second time for them
+    rows = [(i, " ".join(f"w{j}" for j in range(40) for _ in range(1 + (i + j) % 3 + (j < 6)))) for i in range(1, 9)]
+    blocks = brown_lm._blocks(spark.createDataFrame(rows, "id long, text string").repartition(3))
+    sent = blocks.select("block", "words", "counts").mapInArrow(brown_lm._to_words(4), brown_lm._ddl(brown_lm._WORDS))
+    for top in (1, 4, 7, 30, 100):
+        totals = sent.groupBy("bucket").applyInArrow(brown_lm._sum_words(top), brown_lm._ddl(brown_lm._TOTALS)).where("distinct is not null")
+        assert totals.count() == 4
+        assert brown_lm.frequent_words(totals, top) == brown_lm.frequent_words(blocks, top)
+        assert max(len(r.words.split("\n")) for r in totals.collect()) <= top
+
+
+def test_gains_of_rare_words_take_few_logarithms(monkeypatch):
+    # a word took six for every class, whatever stood beside it
+    rng = np.random.default_rng(7)
+    words = 4000
+    rows, columns = np.zeros((2, words, brown_lm.WIDTH))
+    for beside in (rows, columns):
+        beside[np.arange(words), rng.integers(0, brown_lm.WIDTH, words)] = 1
+    table = rng.integers(1000, 2000, (brown_lm.WIDTH, brown_lm.WIDTH)).astype(float)
+    small, real, taken = brown_lm.small_gains(table), brown_lm._xlogx, []
+    monkeypatch.setattr(brown_lm, "_xlogx", lambda x: taken.append(np.size(x)) or real(x))
+    brown_lm.move_gains(rows, columns, np.zeros(words), rng.integers(0, brown_lm.CLASSES, words), table, small)
+    assert sum(taken) < words * brown_lm.CLASSES / 2
+
+
 def test_gains_of_many_words_equal_gains_of_one():
     rng = np.random.default_rng(5)
     n = 150
