@@ -24,7 +24,6 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
@@ -41,6 +40,7 @@ from pairloom.session import materialize
 ROUNDS_A_TABLE = 20
 CHUNK_ROWS = 1 << 18  # rows that a task holds at a time
 DIRECT_TASKS = 64  # more tasks' histograms than this are added up in two steps
+KNOWN_ROWS = 1 << 20  # different rows whose margins a task keeps when it predicts
 LEAST_GAIN = 1e-6
 LEAF = -1
 
@@ -84,6 +84,39 @@ def margins(trees: list[Tree], bins: np.ndarray, start: np.ndarray | float) -> n
     return total
 
 
+class KnownMargins:
+    """Margins of rows of bin numbers: rows with equal bins go down the trees once and are looked up from then on.
+
+    Up to ``KNOWN_ROWS`` different rows are kept; when they are more, all are forgotten and it starts anew.
+    """
+
+    def __init__(self, trees: list[Tree], base: float):
+        self.trees, self.base = [{c: np.array(v) for c, v in tree.items()} for tree in trees], base
+        self.codes, self.margins = None, np.empty(0)
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        if not len(bins):
+            return np.empty(0)
+        if bins.shape[1] <= 4:  # a row is one number
+            wide = np.zeros((len(bins), 4), np.uint16)
+            wide[:, :bins.shape[1]] = bins
+            codes, first, row = np.unique(wide.view(np.uint64)[:, 0], return_index=True, return_inverse=True)
+        else:
+            raw = np.ascontiguousarray(bins).view(f"S{bins.itemsize * bins.shape[1]}")[:, 0]
+            codes, first, row = np.unique(raw, return_index=True, return_inverse=True)
+        if self.codes is None or len(self.codes) > KNOWN_ROWS:
+            self.codes, self.margins = codes[:0], np.empty(0)
+        at = np.searchsorted(self.codes, codes)
+        new = np.ones(len(codes), bool)
+        inside = at < len(self.codes)
+        new[inside] = self.codes[at[inside]] != codes[inside]
+        if new.any():
+            self.margins = np.insert(self.margins, at[new], margins(self.trees, bins[first[new]], self.base))
+            self.codes = np.insert(self.codes, at[new], codes[new])
+            at = np.searchsorted(self.codes, codes)
+        return self.margins[at][row]
+
+
 def to_bins(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:
     """Bin numbers of a matrix of features: 0 if missing, else 1 and the edges that are not above the value."""
     out = np.zeros(x.shape, np.uint16)
@@ -329,12 +362,11 @@ class BoostedTreesModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsRe
         made = self.content()
         edges, base, trees = made["edges"], made["base"], made["trees"]
 
-        @F.pandas_udf("double")
-        def probability(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=float)
-            bins = to_bins(np.array(x.tolist(), float).reshape(len(x), len(edges)), edges)
-            return pd.Series(1 / (1 + np.exp(-margins(trees, bins, base))))
+        @F.arrow_udf("double")
+        def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = KnownMargins(trees, base)
+            for x in batches:
+                yield pa.array(1 / (1 + np.exp(-known.of(to_bins(_matrix(x, len(edges)), edges)))))
 
         scored = dataset.withColumn("probability_1", probability(vector_to_array(self.getFeaturesCol())))
         return scored.withColumn(self.getPredictionCol(), (F.col("probability_1") > 0.5).cast("double"))
