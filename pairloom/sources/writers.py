@@ -15,10 +15,10 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select([F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns])
 
 
-def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
+def write_table(df: DataFrame, path: str, kind: str = "csv", compression: str | None = None) -> None:
     """Write a result table, replacing an older one."""
     if kind == "csv":
-        _flat(df).write.mode("overwrite").options(header=True, escape='"').csv(path)
+        _flat(df).write.mode("overwrite").options(header=True, escape='"').csv(path, compression=compression)
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
     else:
@@ -26,8 +26,11 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def write_results(predictions: DataFrame, best: DataFrame, folder: str, method: str, kind: str = "csv") -> None:
-    """All predictions (SNK1) and the best matches (SNK2) of a method."""
-    write_table(predictions, f"{folder}/{method}", kind)
+    """All predictions (SNK1) and the best matches (SNK2) of a method.
+
+    Predictions are a wide row for every candidate of every item; as CSV they are written with gzip.
+    """
+    write_table(predictions, f"{folder}/{method}", kind, "gzip")
     write_table(best, f"{folder}/{method}_automatch", kind)
 
 
